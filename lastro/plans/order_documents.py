@@ -1,0 +1,286 @@
+"""Fiscal documents written from order tables: the XML inputs of queries, tests and benchmarks.
+
+Each order becomes an NFe with its line items and a CTe for its transport. Codes and tax groups
+vary with the keys, so every branch of the flattening has rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lastro.operators.skew import BLOCK, MIN_ROWS, SALT, SALTS, bounded_blocks, heavy_keys, replicated
+
+# The official layout allows at most 990 items per document; larger orders become several.
+ITEMS_PER_DOCUMENT = 990
+NAMESPACE = "http://www.portalfiscal.inf.br/"
+
+
+def _text(value: Column) -> Column:
+    return value.cast("string")
+
+
+def _dec(name: str, kind: str) -> Column:
+    return F.col(name).cast(kind)
+
+
+def _padded(value: Column, width: int) -> Column:
+    return F.lpad(_text(value), width, "0")
+
+
+def _share(amount: Column, rate: Column | str) -> Column:
+    rate = F.lit(rate).cast("decimal(9,4)") if isinstance(rate, str) else rate
+    return _text((amount * rate).cast("decimal(18,2)"))
+
+
+def _group(condition: Column, **leaves: Column | str) -> Column:
+    """A tax group that is there only where ``condition`` holds; the writer omits NULLs."""
+    parts = [(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in leaves.items()]
+    return F.when(condition, F.struct(*parts))
+
+
+def _item(broken: Column) -> Column:
+    line, flag, status = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus")
+    price, tax = _dec("l_extendedprice", "decimal(18,2)"), _dec("l_tax", "decimal(9,4)")
+    discount, part = _dec("l_discount", "decimal(9,4)"), F.col("l_partkey")
+    orig = _text(line % 3)
+    by_flag = ~line.isin(4, 5, 6, 7)
+    normal = {"vBC": _text(price), "pICMS": _text(tax), "vICMS": _share(price, tax)}
+    substituted = {
+        "pMVAST": "40.0000",
+        "vBCST": _share(price, "1.4000"),
+        "pICMSST": "18.0000",
+        "vICMSST": _share(price, "0.2520"),
+    }
+    icms = F.struct(
+        _group(by_flag & (flag == "A"), orig=orig, CST="00", **normal).alias("ICMS00"),
+        _group(by_flag & (flag == "N"), orig=orig, CST="20", pRedBC=_text(discount), **normal).alias("ICMS20"),
+        _group(
+            by_flag & (flag == "R"), orig=orig, CST="51", pDif="33.3300", vICMSDif=_share(price, "0.0100"), **normal
+        ).alias("ICMS51"),
+        _group(line == 6, orig=orig, CST="60", vBCSTRet=_text(price), pST="18.0000", vICMSSTRet=_share(price, "0.1800")).alias("ICMS60"),
+        _group(
+            line == 5,
+            orig=orig,
+            CST="61",
+            qBCMonoRet=_text(_dec("l_quantity", "decimal(18,4)")),
+            adRemICMSRet="1.2500",
+            vICMSMonoRet=_share(price, "0.0300"),
+        ).alias("ICMS61"),
+        _group(line == 4, orig=orig, CST="70", pRedBC=_text(discount), **normal, **substituted).alias("ICMS70"),
+        _group(line == 7, orig=orig, CSOSN="101").alias("ICMSSN101"),
+    )
+    ipi = F.struct(
+        _group(status == "F", CST="50", vBC=_text(price), pIPI="5.0000", vIPI=_share(price, "0.0500")).alias("IPITrib"),
+        _group(status != "F", CST="53").alias("IPINT"),
+    )
+
+    def contribution(name: str, percent: str, rate: str) -> Column:
+        amount = {"vBC": _text(price), f"p{name}": percent, f"v{name}": _share(price, rate)}
+        high = discount >= F.lit("0.05").cast("decimal(9,4)")
+        return F.struct(
+            _group(high, CST="01", **amount).alias(f"{name}Aliq"),
+            _group(~high & (status == "F"), CST="99", **amount).alias(f"{name}Outr"),
+            _group(~high & (status != "F"), CST="07").alias(f"{name}NT"),
+        )
+
+    product = F.struct(
+        _text(part).alias("cProd"),
+        F.concat(F.lit("Item "), _text(part)).alias("xProd"),
+        _padded(part % 20, 8).alias("NCM"),
+        F.when(flag == "R", "5202").otherwise("5102").alias("CFOP"),
+        F.lit("UN").alias("uCom"),
+        _text(_dec("l_quantity", "decimal(18,4)")).alias("qCom"),
+        _text(price.cast("decimal(21,10)")).alias("vUnCom"),
+        _text(price).alias("vProd"),
+        F.when(part % 5 == 0, _padded(part % 100, 7)).alias("CEST"),
+    )
+    taxes = F.struct(
+        icms.alias("ICMS"),
+        F.when(line != 1, ipi).alias("IPI"),
+        contribution("PIS", "1.6500", "0.0165").alias("PIS"),
+        contribution("COFINS", "7.6000", "0.0760").alias("COFINS"),
+    )
+    return F.struct(
+        F.when(broken == 3, "x").otherwise(_text(line)).alias("_nItem"),
+        product.alias("prod"),
+        F.when(F.coalesce(broken != 2, F.lit(True)), taxes).alias("imposto"),
+    )
+
+
+def _stamp(day: Column) -> Column:
+    return F.concat(_text(day.cast("date")), F.lit("T12:00:00-03:00"))
+
+
+def _broken(key: Column, broken_every: int | None) -> Column:
+    """Which of four ways a document is broken; NULL for a sound one."""
+    if broken_every is None:
+        return F.lit(None).cast("int")
+    turn = F.floor(key / F.lit(broken_every)) % 4
+    return F.when(key % broken_every == 0, turn.cast("int"))
+
+
+def nfe_documents(
+    lineitem: DataFrame,
+    orders: DataFrame,
+    customer: DataFrame,
+    supplier: DataFrame,
+    *,
+    broken_every: int | None = None,
+    min_rows: int = MIN_ROWS,
+    items_per_document: int = ITEMS_PER_DOCUMENT,
+) -> DataFrame:
+    """One NFe ``(path, text)`` per order with items, in parts of ``items_per_document`` items.
+
+    The items are shuffled once, by order key and salt; numbering, grouping and the join with the
+    order's header all reuse that partitioning. No group is collected beyond the item limit.
+    """
+    key = ["l_orderkey"]
+    heavy = heavy_keys(lineitem, key, min_rows)
+    wanted = [
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+    ]
+    blocks = bounded_blocks(lineitem.select(*wanted), key, items_per_document, wanted[1:], heavy=heavy)
+    item = _item(_broken(F.col("l_orderkey"), broken_every))
+    grouped = blocks.groupBy("l_orderkey", SALT, BLOCK).agg(F.collect_list(item).alias("det"))
+
+    # Customers and suppliers have one row per key. A heavy one sits on the order side of a plain
+    # exchange, which adaptive execution splits.
+    seller = lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s_suppkey"))
+    header = (
+        seller.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+        .join(customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+        .join(supplier, "s_suppkey")
+        .select(
+            "l_orderkey", "o_orderdate", "o_custkey", "c_name", "c_nationkey", "s_suppkey", "s_name", "s_nationkey"
+        )
+    )
+    order = grouped.join(replicated(header, key, heavy, SALTS), ["l_orderkey", SALT])
+
+    k, buyer, maker = F.col("l_orderkey"), F.col("o_custkey"), F.col("s_suppkey")
+    broken = _broken(k, broken_every)
+    reference = lambda n: F.struct(_padded(k + n, 44).alias("refNFe"))
+    ide = F.struct(
+        F.lit("Venda").alias("natOp"),
+        F.lit("1").alias("serie"),
+        _text(k).alias("nNF"),
+        _stamp(F.col("o_orderdate")).alias("dhEmi"),
+        _text(k % 3).alias("tpNF"),
+        _text(1 + k % 4).alias("idDest"),
+        F.when(k % 10 == 0, F.array(reference(1), reference(2))).alias("NFref"),
+    )
+    emit = F.struct(
+        _padded(maker, 14).alias("CNPJ"),
+        F.col("s_name").alias("xNome"),
+        F.struct(_padded(F.col("s_nationkey"), 2).alias("UF")).alias("enderEmit"),
+        F.concat(F.lit("IE"), _text(maker)).alias("IE"),
+        F.when(maker % 3 == 0, F.concat(F.lit("ST"), _text(maker))).alias("IEST"),
+        F.when(maker % 2 == 0, F.concat(F.lit("IM"), _text(maker))).alias("IM"),
+        _text(1 + k % 3).alias("CRT"),
+    )
+    dest = F.struct(
+        _padded(buyer, 14).alias("CNPJ"),
+        F.col("c_name").alias("xNome"),
+        F.struct(_padded(F.col("c_nationkey"), 2).alias("UF")).alias("enderDest"),
+        F.concat(F.lit("IE"), _text(buyer)).alias("IE"),
+    )
+    body = F.struct(
+        F.concat(F.lit("NFe"), _padded(k, 44)).alias("_Id"),
+        F.when(F.coalesce(broken != 1, F.lit(True)), ide).alias("ide"),
+        emit.alias("emit"),
+        dest.alias("dest"),
+        F.col("det"),
+        F.struct(_text(k % 6).alias("modFrete")).alias("transp"),
+    )
+    nfe = F.struct(F.lit(NAMESPACE + "nfe").alias("_xmlns"), body.alias("infNFe"))
+    written = order.select(
+        F.concat_ws("/", F.lit("nfe"), "l_orderkey", SALT, BLOCK).alias("path"),
+        F.to_xml(F.struct(nfe.alias("NFe")), {"rowTag": "nfeProc"}).alias("text"),
+        broken.alias("broken"),
+    )
+    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    return written.select("path", F.when(F.col("broken") == 0, half).otherwise(F.col("text")).alias("text"))
+
+
+def cte_documents(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """One CTe ``(path, text)`` per order; the tax group goes by the key modulo seven."""
+    order = orders.join(customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    k, buyer = F.col("o_orderkey"), F.col("o_custkey")
+    total = _dec("o_totalprice", "decimal(18,2)")
+    normal = {"vBC": _text(total), "pICMS": "12.0000", "vICMS": _share(total, "0.1200")}
+    other = {f"{name}OutraUF": value for name, value in normal.items()}
+    turn = k % 7
+    icms = F.struct(
+        _group(turn == 0, CST="00", **normal).alias("ICMS00"),
+        _group(turn == 1, CST="20", **normal).alias("ICMS20"),
+        _group(turn == 2, CST="45").alias("ICMS45"),
+        _group(turn == 3, CST="60", **normal).alias("ICMS60"),
+        _group(turn == 4, CST="90", **normal).alias("ICMS90"),
+        _group(turn == 5, CST="90", indSN=_text((k + 1) % 2)).alias("ICMSSN"),
+        _group(turn == 6, CST="90", **other).alias("ICMSOutraUF"),
+    )
+    has_taker = k % 11 != 0
+    town = lambda n: F.concat(F.lit("Cidade "), _text(k % n))
+    ide = F.struct(
+        F.lit("6352").alias("CFOP"),
+        F.lit("Transporte").alias("natOp"),
+        F.lit("1").alias("serie"),
+        _text(k).alias("nCT"),
+        _stamp(F.col("o_orderdate")).alias("dhEmi"),
+        _text(k % 4).alias("tpCTe"),
+        _text(k % 6).alias("tpServ"),
+        town(27).alias("xMunIni"),
+        _padded(k % 27, 2).alias("UFIni"),
+        town(26).alias("xMunFim"),
+        _padded(k % 26, 2).alias("UFFim"),
+        _group(has_taker & (k % 2 == 0), toma=_text(k % 4)).alias("toma3"),
+        _group(has_taker & (k % 2 == 1), toma="4", CNPJ=_padded(buyer, 14)).alias("toma4"),
+    )
+
+    def party(number: Column, name: Column) -> Column:
+        ie = F.concat(F.lit("IE"), _text(number))
+        return F.struct(_padded(number, 14).alias("CNPJ"), ie.alias("IE"), name.alias("xNome"))
+
+    carrier = F.concat(F.lit("Transportadora "), _text(k % 100))
+    linked = lambda n: F.struct(_padded(k + n, 44).alias("chave"))
+    links = F.struct(
+        F.when(k % 3 != 0, F.struct(F.array(linked(0), linked(1)).alias("infNFe"))).alias("infDoc"),
+        _group(k % 5 == 0, chCte=_padded(k + 5, 44)).alias("infCteSub"),
+    )
+    body = F.struct(
+        F.concat(F.lit("CTe"), _padded(k, 44)).alias("_Id"),
+        ide.alias("ide"),
+        party(k % 100, carrier).alias("emit"),
+        party(buyer, F.col("c_name")).alias("rem"),
+        party(buyer + 1, F.concat(F.lit("Dest "), _text(buyer + 1))).alias("dest"),
+        F.struct(_text(total).alias("vTPrest")).alias("vPrest"),
+        F.when(k % 13 != 0, F.struct(icms.alias("ICMS"))).alias("imp"),
+        links.alias("infCTeNorm"),
+    )
+    cte = F.struct(F.lit(NAMESPACE + "cte").alias("_xmlns"), body.alias("infCte"))
+    return order.select(
+        F.concat_ws("/", F.lit("cte"), "o_orderkey").alias("path"),
+        F.to_xml(F.struct(cte.alias("CTe")), {"rowTag": "cteProc"}).alias("text"),
+    )
+
+
+def mixed_documents(orders: DataFrame) -> DataFrame:
+    """One small document per order under eight kinds of root, to tell the types apart."""
+    k = F.col("o_orderkey")
+    # Opening and closing text by the key modulo eight.
+    kinds = [
+        ('<?xml version="1.0" encoding="UTF-8"?><nfeProc><NFe>', "</NFe></nfeProc>"),
+        ("<NFe>", "</NFe>"),
+        ('<n:enviNFe xmlns:n="urn:x">', "</n:enviNFe>"),
+        ("<procEventoNFe>", "</procEventoNFe>"),
+        ("<!-- <NFe> --><cteProc>", "</cteProc>"),
+        ("\n<CTe>", "</CTe>"),
+        ('<!DOCTYPE retorno><NFe:retorno xmlns:NFe="urn:x">', "</NFe:retorno>"),
+        ("<nfe>", "</nfe>"),
+    ]
+    text = None
+    for turn, (opening, closing) in enumerate(kinds):
+        whole = F.concat(F.lit(f"{opening}<v>"), _text(k), F.lit(f"</v>{closing}"))
+        text = F.when(k % 8 == turn, whole) if text is None else text.when(k % 8 == turn, whole)
+    return orders.select(F.concat_ws("/", F.lit("doc"), "o_orderkey").alias("path"), text.alias("text"))
