@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lastro.functions import codes
-from lastro.functions.text import date_part, filled, padded_number, present, without
-from lastro.operators.paths import Field, at, field, first_field, schema_of, text_at, variant_field
+from lastro.functions.text import date_part, filled, padded_number, without
+from lastro.operators.paths import RECORD, Field, at, field, first_field, schema_of, text_at, variant_field
 from lastro.operators.shape import union_ragged
 
 NFE, CTE = "NFe", "CTe"
@@ -54,11 +54,10 @@ def _decode(table: dict[str, str]):
     return lambda code: codes.decoded(code, table)
 
 
-def _ipi_code(record: Column) -> Column:
-    """The taxed group wins once it is there, even without a code."""
-    ipi = at(record, "det/imposto/IPI")
-    taxed, exempt = ipi["IPITrib"], ipi["IPINT"]
-    return F.when(taxed.isNotNull(), present(taxed["CST"])).otherwise(present(exempt["CST"]))
+# The taxed group wins once it is there, even without a code.
+_IPI_CODE = f"""
+CASE WHEN {at("det/imposto/IPI/IPITrib")} IS NOT NULL THEN {text_at("det/imposto/IPI/IPITrib/CST")}
+ELSE {text_at("det/imposto/IPI/IPINT/CST")} END"""
 
 
 # Paths start at infNFe; under det/ they mean the one item of the record.
@@ -81,7 +80,7 @@ NFE_FIELDS: tuple[Field, ...] = (
     field("Nome_destinatario", "dest/xNome"),
     field("UF_Destinatario", "dest/enderDest/UF"),
     field("IE_destinatario", "dest/IE"),
-    Field("No_Item", ("det/@nItem",), lambda r: padded_number(F.coalesce(at(r, "det/@nItem"), F.lit("0"))), WHOLE),
+    Field("No_Item", ("det/@nItem",), lambda: padded_number(F.expr(f"coalesce({at('det/@nItem')}, '0')")), WHOLE),
     field("Codigo_produto", "det/prod/cProd"),
     field("Descricao_produto", "det/prod/xProd"),
     field("NCM", "det/prod/NCM"),
@@ -109,7 +108,7 @@ NFE_FIELDS: tuple[Field, ...] = (
     _icms("BC_ICMS_Retido", "vBCSTRet", MONEY),
     _icms("Aliq_ICMS_Retido", "pST", RATE),
     _icms("Vlr_ICMS_Retido", "vICMSSTRet", MONEY),
-    Field("CST_IPI", ("det/imposto/IPI/IPITrib/CST", "det/imposto/IPI/IPINT/CST"), _ipi_code),
+    Field("CST_IPI", ("det/imposto/IPI/IPITrib/CST", "det/imposto/IPI/IPINT/CST"), lambda: F.expr(_IPI_CODE)),
     _ipi("BC_IPI", "vBC", MONEY),
     _ipi("Aliq_IPI", "pIPI", RATE),
     _ipi("Vlr_IPI", "vIPI", MONEY),
@@ -122,23 +121,20 @@ NFE_FIELDS: tuple[Field, ...] = (
     _cofins("Aliq_Cofins", "pCOFINS", RATE),
     _cofins("Vlr_Cofins", "vCOFINS", MONEY),
     field("Modalidade_Frete", "transp/modFrete", _decode(codes.FREIGHT_MODE)),
-    Field("Chave_NFe", ("@Id",), lambda r: without(filled(at(r, "@Id")), "NFe")),
+    Field("Chave_NFe", ("@Id",), lambda: without(filled(F.expr(at("@Id"))), "NFe")),
 )
 
 _CTE_ICMS = "imp/ICMS"
 
 
-def _taker(record: Column) -> Column:
-    """The code of the short form once it is there, else the taker's own number."""
-    short, full = at(record, "ide/toma3"), at(record, "ide/toma4")
-    return F.when(short.isNotNull(), present(short["toma"])).otherwise(present(full["CNPJ"]))
+# The code of the short form once it is there, else the taker's own number.
+_TAKER = f"""
+CASE WHEN {at("ide/toma3")} IS NOT NULL THEN {text_at("ide/toma3/toma")} ELSE {text_at("ide/toma4/CNPJ")} END"""
 
-
-def _simples(record: Column) -> Column:
-    """NULL without a tax block, yes for flag 1, no for another flag or none."""
-    icms = at(record, _CTE_ICMS)
-    chosen = F.coalesce(text_at(record, f"{_CTE_ICMS}/ICMSSN/indSN") == "1", F.lit(False))
-    return F.when(icms.isNotNull(), F.when(chosen, codes.YES).otherwise(codes.NO))
+# NULL without a tax block, yes for flag 1, no for another flag or none.
+_SIMPLES = f"""
+CASE WHEN {at(_CTE_ICMS)} IS NULL THEN NULL
+WHEN {at(_CTE_ICMS + "/ICMSSN/indSN")} = '1' THEN '{codes.YES}' ELSE '{codes.NO}' END"""
 
 
 def _cte_icms(name: str, leaf: str, cast: str) -> Field:
@@ -149,7 +145,10 @@ def _cte_icms(name: str, leaf: str, cast: str) -> Field:
 def _cte_tax_amount() -> Field:
     """As the other amounts, but ``'0'`` where a tax block has none."""
     plain = _cte_icms("Vlr_ICMS", "vICMS", MONEY)
-    amount = lambda r: F.when(at(r, _CTE_ICMS).isNotNull(), F.coalesce(plain.column(r), F.lit("0")))
+
+    def amount() -> Column:
+        return F.when(F.expr(at(_CTE_ICMS)).isNotNull(), F.coalesce(plain.column(), F.lit("0")))
+
     return Field(plain.name, plain.paths, amount, MONEY)
 
 
@@ -166,7 +165,7 @@ CTE_FIELDS: tuple[Field, ...] = (
     field("UF_Inicio", "ide/UFIni"),
     field("Mun_Fim", "ide/xMunFim"),
     field("UF_Fim", "ide/UFFim"),
-    Field("Tomador", ("ide/toma3/toma", "ide/toma4/CNPJ"), _taker),
+    Field("Tomador", ("ide/toma3/toma", "ide/toma4/CNPJ"), lambda: F.expr(_TAKER)),
     field("CNPJ_emit", "emit/CNPJ"),
     field("IE_emit", "emit/IE"),
     field("Emitente", "emit/xNome"),
@@ -177,14 +176,14 @@ CTE_FIELDS: tuple[Field, ...] = (
     field("IE_dest", "dest/IE"),
     field("Destinatario", "dest/xNome"),
     field("VLR_Servico", "vPrest/vTPrest", cast=MONEY),
-    Field("Optante_SN", (f"{_CTE_ICMS}/ICMSSN/indSN",), _simples),
+    Field("Optante_SN", (f"{_CTE_ICMS}/ICMSSN/indSN",), lambda: F.expr(_SIMPLES)),
     variant_field("CST", _CTE_ICMS, CTE_ICMS_GROUPS, ["CST"]),
     _cte_icms("BC_ICMS", "vBC", MONEY),
     _cte_icms("Aliq_ICMS", "pICMS", RATE),
     _cte_tax_amount(),
     first_field("NF_ref", "infCTeNorm/infDoc/infNFe", "chave"),
     field("Chave_CTe_Subs", "infCTeNorm/infCteSub/chCte"),
-    Field("Chave_CTE", ("@Id",), lambda r: without(filled(at(r, "@Id")), "CTe")),
+    Field("Chave_CTE", ("@Id",), lambda: without(filled(F.expr(at("@Id"))), "CTe")),
 )
 
 DOCUMENT_KEY = {NFE: "Chave_NFe", CTE: "Chave_CTE"}
@@ -195,9 +194,8 @@ _REQUIRED = {NFE: ("ide/natOp", "det/@nItem", "det/imposto/ICMS/ICMS00/CST"), CT
 
 # Everything that may stand before the root element, then the root's prefix. The prefix is possessive:
 # it must not be taken for the name when the rest fails.
-_BEFORE_ROOT = (
-    r"(?s)^\x{FEFF}?\s*(?:(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>)\s*)*<(?:[\w.-]+:)?+"
-)
+_PROLOG = r"(?s)^\x{FEFF}?\s*(?:(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>)\s*)*"
+_BEFORE_ROOT = _PROLOG + r"<(?:[\w.-]+:)?+"
 ROOT_NAME = _BEFORE_ROOT + r"([A-Za-z_][\w.-]*)"
 # What a root's name must contain to be of a type; case counts.
 _ROOT_MARKS = {NFE: "NFe|nfeProc", CTE: "CTe|cteProc"}
@@ -253,19 +251,33 @@ def _chosen(doc_type: str, columns: Sequence[str] | None) -> list[Field]:
     return [f for f in fields if f.name in columns]
 
 
-def _whole_schema(doc_type: str, columns: Sequence[str] | None) -> tuple[T.StructType, T.StructType]:
-    """The schema inside the root, wrapped or bare, and the schema of one body."""
+def _schemas(doc_type: str, columns: Sequence[str] | None) -> tuple[T.StructType, T.StructType]:
+    """The schema inside the root and the schema of one document body."""
     body, schema = _BODY[doc_type], _body_schema(doc_type, _chosen(doc_type, columns))
     wrapper = T.ArrayType(T.StructType([T.StructField(body, schema)]))
-    return T.StructType().add(doc_type, wrapper).add(body, schema).add("_bad", "string"), schema
+    return T.StructType().add(doc_type, wrapper).add("_bad", "string"), schema
+
+
+def _rooted(text: Column, doc_type: str) -> Column:
+    """A bare document gets a root around it, so that one schema serves both forms.
+
+    A second copy of the schema for bare roots would double the code generated for each task.
+    """
+    bare = text.rlike(rf"{_BEFORE_ROOT}{doc_type}[\s/>]")
+    inside = F.regexp_replace(text, _PROLOG, "")
+    return F.when(bare, F.concat(F.lit("<root>"), inside, F.lit("</root>"))).otherwise(text)
+
+
+def _ended(text: Column) -> Column:
+    """Whether the text ends with a tag; the common endings are checked without a scan."""
+    return text.endswith(">") | text.endswith(">\n") | text.endswith(">\r\n") | text.rlike(r">\s*\z")
 
 
 def parse(docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE), columns: Sequence[str] | None = None) -> DataFrame:
     """Parse each document of the given types once: ``(path, doc_type, NFe and/or CTe)``.
 
     A type's column is an array of ``(reason, body)``, so that a batch root gives all of its
-    documents. ``reason`` is NULL for good ones. A wrapper and a bare document root both work: the
-    schema holds both forms and a file fills the one it has.
+    documents. ``reason`` is NULL for good ones.
     """
     text = F.col("text")
     if len(doc_types) == 1:
@@ -278,22 +290,20 @@ def parse(docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE), columns: Seque
         "ignoreNamespace": "true",
         "ignoreSurroundingSpaces": "false",
     }
-    schemas = {t: _whole_schema(t, columns) for t in doc_types}
+    schemas = {t: _schemas(t, columns) for t in doc_types}
     # The parser stops at the end of the root; text behind it makes a document malformed.
-    ended = F.right(F.rtrim(text, F.lit(" \t\r\n")), F.lit(1)) == ">"
     xml = typed.select(
         "path",
         "doc_type",
-        ended.alias("ended"),
-        *[F.when(F.col("doc_type") == t, F.from_xml("text", schemas[t][0], options)).alias(t) for t in doc_types],
+        _ended(text).alias("ended"),
+        *[F.when(F.col("doc_type") == t, F.from_xml(_rooted(text, t), schemas[t][0], options)).alias(t) for t in doc_types],
     )
     return xml.select("path", "doc_type", *[_checked(t, schemas[t][1]).alias(t) for t in doc_types])
 
 
 def _checked(doc_type: str, schema: T.StructType) -> Column:
     x, body = F.col(doc_type), _BODY[doc_type]
-    wrapped = F.filter(F.transform(x[doc_type], lambda d: d[body]), lambda b: b.isNotNull())
-    bodies = F.when(x[body].isNotNull(), F.array(x[body])).otherwise(wrapped)
+    bodies = F.filter(F.transform(x[doc_type], lambda d: d[body]), lambda b: b.isNotNull())
     good = F.transform(bodies, lambda b: F.struct(_reason(b, doc_type).alias("reason"), b.alias("body")))
     failed = F.struct(F.lit(MALFORMED).alias("reason"), F.lit(None).cast(schema).alias("body"))
     broken = x["_bad"].isNotNull() | ~F.col("ended")
@@ -335,12 +345,12 @@ def records(
         items = F.when(F.col("reason").isNull(), F.col("body.det"))
         split = docs.select(F.struct(*[F.col(f"body.{n}").alias(n) for n in header]).alias("h"), items.alias("det"))
         flat = split.select("h", F.explode("det").alias("item"))
-        flat = flat.select(F.struct(*[F.col(f"h.{n}").alias(n) for n in header], F.col("item").alias("det")).alias("r"))
+        flat = flat.select(F.struct(*[F.col(f"h.{n}").alias(n) for n in header], F.col("item").alias("det")).alias(RECORD))
     else:
-        flat = docs.filter(F.col("reason").isNull()).select(F.col("body").alias("r"))
+        flat = docs.filter(F.col("reason").isNull()).select(F.col("body").alias(RECORD))
     out = []
     for f in _chosen(doc_type, columns):
-        value = f.column(F.col("r"))
+        value = f.column()
         out.append((value.try_cast(f.cast) if typed and f.cast else value).alias(f.name))
     return flat.select(*out)
 

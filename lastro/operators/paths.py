@@ -13,43 +13,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lastro.functions.text import present
+
+RECORD = "r"
 
 
 @dataclass(frozen=True)
 class Field:
-    """``paths`` are relative to the record; ``column`` builds the value from the record column."""
+    """``paths`` are relative to the record column ``r``; ``column`` builds the value from it."""
 
     name: str
     paths: tuple[str, ...]
-    column: Callable[[Column], Column]
+    column: Callable[[], Column]
     cast: str | None = None
 
 
-def at(record: Column, path: str) -> Column:
-    """The value at ``a/b/c``, with ``@x`` for an attribute; NULL wherever a part is missing."""
-    for part in path.split("/"):
-        record = record[part.replace("@", "_")]
-    return record
+def at(path: str) -> str:
+    """SQL for the value at ``a/b/c``, with ``@x`` for an attribute; NULL wherever a part is missing.
+
+    SQL text rather than chained columns: a record has some hundred paths, and each step of a chain
+    would be a call into the JVM.
+    """
+    return ".".join([RECORD, *path.replace("@", "_").split("/")])
 
 
-def text_at(record: Column, path: str) -> Column:
-    return present(at(record, path))
+def text_at(path: str) -> str:
+    """The text at a path, the empty text as NULL."""
+    return f"nullif({at(path)}, '')"
 
 
 def field(name: str, path: str, then: Callable[[Column], Column] | None = None, cast: str | None = None) -> Field:
     """The text at one path, optionally decoded or cut by ``then``."""
-    return Field(name, (path,), lambda r: text_at(r, path) if then is None else then(text_at(r, path)), cast)
 
+    def column() -> Column:
+        value = F.expr(text_at(path))
+        return value if then is None else then(value)
 
-def first_field(name: str, repeated: str, leaf: str) -> Field:
-    """The first filled ``leaf`` among the repetitions of an element."""
+    return Field(name, (path,), column, cast)
 
-    def column(record: Column) -> Column:
-        filled = F.filter(at(record, repeated), lambda e: present(e[leaf]).isNotNull())
-        return F.get(filled, F.lit(0))[leaf]
 
-    return Field(name, (f"{repeated}[]/{leaf}",), column)
+def first_field(name: str, repeated: str, leaf: str) -> Field:
+    """The first filled ``leaf`` among the repetitions of an element."""
+    sql = f"get(filter({at(repeated)}, e -> nullif(e.{leaf}, '') IS NOT NULL), 0).{leaf}"
+    return Field(name, (f"{repeated}[]/{leaf}",), lambda: F.expr(sql))
 
 
 def variant_field(
@@ -57,7 +62,8 @@ def variant_field(
 ) -> Field:
     """The first filled leaf over alternative groups, in group order and then in leaf order."""
     paths = tuple(f"{parent}/{group}/{leaf}" for group in groups for leaf in leaves)
-    return Field(name, paths, lambda r: F.coalesce(*[text_at(r, p) for p in paths]), cast)
+    sql = f"coalesce({', '.join(text_at(p) for p in paths)})"
+    return Field(name, paths, lambda: F.expr(sql), cast)
 
 
 def schema_of(paths: Iterable[str]) -> T.StructType:
