@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lastro.functions.values import CLOCK, DATE_FORMATS, DIGITS, is_boolean_token, is_number, to_timestamp
 
 MAX_INTEGER_DIGITS = 18
+DATE_LIKE = r"^\s*([0-9]{1,4}[-/.][0-9]{1,2}[-/.]|[0-9]{2}:[0-9]{2})"
 
 
-def _facts(name: str) -> Column:
-    """What all, or some, filled cells of a column have in common. Blank cells do not vote."""
-    text = F.col(f"`{name}`").cast("string")
-    value = F.when(F.trim(text) != "", text)
-    digits = value.rlike(DIGITS)
-    # Digits that a number type would damage: leading zeros, or more of them than a long holds.
-    identifier = digits & ((value.startswith("0") & (F.length(value) > 1)) | (F.length(value) > MAX_INTEGER_DIGITS))
-    return F.struct(
-        F.count(value).alias("filled"),
-        F.bool_and(is_number(value)).alias("numbers"),
-        F.bool_and(digits).alias("digits"),
-        F.bool_or(identifier).alias("identifiers"),
-        *[F.bool_and(to_timestamp(value, f).isNotNull()).alias(f) for f in DATE_FORMATS],
-        F.bool_or(value.rlike(CLOCK)).alias("clock_seen"),
-        F.bool_and(is_boolean_token(value)).alias("tokens"),
-        # Only tokens are collected, so the set is bounded by their spellings and not by the data.
-        F.size(F.collect_set(F.when(is_boolean_token(value), value))).alias("spellings"),
-    ).alias(name)
+def _identifier(i: int) -> str:
+    """Digits that a number type would damage: leading zeros, or more of them than a long holds."""
+    return f"((startswith(v{i}, '0') AND length(v{i}) > 1) OR length(v{i}) > {MAX_INTEGER_DIGITS})"
+
+
+def _aggregates(source: DataFrame) -> DataFrame:
+    """One row; per column what all, or some, of its filled cells have in common.
+
+    Blank cells are NULL and do not vote. The tests are projected first and the aggregates only
+    combine booleans, so no test runs twice for a cell.
+    """
+    width = range(len(source.columns))
+    texts = source.toDF(*[f"c{i}" for i in width]).select(
+        *[F.expr(f"CASE WHEN trim(CAST(c{i} AS STRING)) <> '' THEN CAST(c{i} AS STRING) END AS v{i}") for i in width]
+    )
+    tests = []
+    for i in width:
+        value = F.col(f"v{i}")
+        tests.append(value)
+        tests.append(is_number(value).alias(f"number{i}"))
+        tests.append(value.rlike(DIGITS).alias(f"digits{i}"))
+        tests.append(is_boolean_token(value).alias(f"token{i}"))
+        tests.append(value.rlike(CLOCK).alias(f"clock_seen{i}"))
+        # The rough shape comes first, so cells of other kinds cost one test instead of four.
+        dated = value.rlike(DATE_LIKE)
+        tests.extend((dated & to_timestamp(value, f).isNotNull()).alias(f"{f}{i}") for f in DATE_FORMATS)
+    facts = []
+    for i in width:
+        parts = [
+            f"'filled', count(v{i})",
+            f"'numbers', bool_and(number{i})",
+            f"'digits', bool_and(digits{i})",
+            f"'identifiers', bool_or(digits{i} AND {_identifier(i)})",
+            f"'clock_seen', bool_or(clock_seen{i})",
+            f"'tokens', bool_and(token{i})",
+            # Only tokens are collected, so the set is bounded by their spellings, not by the data.
+            f"'spellings', size(collect_set(CASE WHEN token{i} THEN v{i} END))",
+            *[f"'{f}', bool_and({f}{i})" for f in DATE_FORMATS],
+        ]
+        facts.append(F.expr(f"named_struct({', '.join(parts)}) AS f{i}"))
+    return texts.select(*tests).agg(*facts)
 
 
 def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
@@ -37,10 +61,8 @@ def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     ``sample_rows`` limits the look to the first rows, as a preview does; the default is all.
     """
     source = df if sample_rows is None else df.limit(sample_rows)
-    facts = source.agg(*[_facts(c) for c in df.columns])
-    per_column = facts.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("f")) for c in df.columns]))
-    )
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"f{i}").alias("f")) for i, c in enumerate(df.columns)]
+    per_column = _aggregates(source).select(F.inline(F.array(*pairs)))
     date_format = F.coalesce(*[F.when(F.col(f"f.{f}"), F.lit(f)) for f in DATE_FORMATS])
     number = F.col("f.numbers") & ~F.col("f.identifiers")
     declared = (

@@ -28,96 +28,109 @@ def _padded(value: Column, width: int) -> Column:
     return F.lpad(_text(value), width, "0")
 
 
-def _share(amount: Column, rate: Column | str) -> Column:
-    rate = F.lit(rate).cast("decimal(9,4)") if isinstance(rate, str) else rate
-    return _text((amount * rate).cast("decimal(18,2)"))
+def _share(amount: Column, rate: str) -> Column:
+    return _text((amount * F.lit(rate).cast("decimal(9,4)")).cast("decimal(18,2)"))
 
 
 def _group(condition: Column, **leaves: Column | str) -> Column:
-    """A tax group that is there only where ``condition`` holds; the writer omits NULLs."""
+    """A group that is there only where ``condition`` holds; the writer omits NULLs."""
     parts = [(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in leaves.items()]
     return F.when(condition, F.struct(*parts))
 
 
-def _item(broken: Column) -> Column:
-    line, flag, status = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus")
-    price, tax = _dec("l_extendedprice", "decimal(18,2)"), _dec("l_tax", "decimal(9,4)")
-    discount, part = _dec("l_discount", "decimal(9,4)"), F.col("l_partkey")
-    orig = _text(line % 3)
-    by_flag = ~line.isin(4, 5, 6, 7)
-    normal = {"vBC": _text(price), "pICMS": _text(tax), "vICMS": _share(price, tax)}
-    substituted = {
-        "pMVAST": "40.0000",
-        "vBCST": _share(price, "1.4000"),
-        "pICMSST": "18.0000",
-        "vICMSST": _share(price, "0.2520"),
+def _sql_struct(leaves: dict[str, str]) -> str:
+    return f"named_struct({', '.join(f"'{name}', {sql}" for name, sql in leaves.items())})"
+
+
+def _sql_group(condition: str, leaves: dict[str, str]) -> str:
+    return f"CASE WHEN {condition} THEN {_sql_struct(leaves)} END"
+
+
+_PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
+_TAX = "CAST(l_tax AS DECIMAL(9,4))"
+_DISCOUNT = "CAST(l_discount AS DECIMAL(9,4))"
+_QUANTITY = "CAST(CAST(l_quantity AS DECIMAL(18,4)) AS STRING)"
+
+
+def _sql_text(sql: str) -> str:
+    return f"CAST({sql} AS STRING)"
+
+
+def _sql_share(rate: str) -> str:
+    return _sql_text(f"CAST({_PRICE} * CAST({rate} AS DECIMAL(9,4)) AS DECIMAL(18,2))")
+
+
+def _item(broken: str) -> Column:
+    """One ``det`` element. SQL text, because its two hundred parts would each be a JVM call."""
+    orig = {"orig": _sql_text("l_linenumber % 3")}
+    normal = {"vBC": _sql_text(_PRICE), "pICMS": _sql_text(_TAX), "vICMS": _sql_share(_TAX)}
+    reduced = {"pRedBC": _sql_text(_DISCOUNT)}
+    substituted = {"pMVAST": "'40.0000'", "vBCST": _sql_share("1.4"), "pICMSST": "'18.0000'", "vICMSST": _sql_share("0.252")}
+    retained = {"vBCSTRet": _sql_text(_PRICE), "pST": "'18.0000'", "vICMSSTRet": _sql_share("0.18")}
+    per_unit = {"qBCMonoRet": _QUANTITY, "adRemICMSRet": "'1.2500'", "vICMSMonoRet": _sql_share("0.03")}
+    deferred = {"pDif": "'33.3300'", "vICMSDif": _sql_share("0.01")}
+    by_flag = "l_linenumber NOT IN (4, 5, 6, 7) AND l_returnflag"
+    icms = {
+        "ICMS00": _sql_group(f"{by_flag} = 'A'", orig | {"CST": "'00'"} | normal),
+        "ICMS20": _sql_group(f"{by_flag} = 'N'", orig | {"CST": "'20'"} | reduced | normal),
+        "ICMS51": _sql_group(f"{by_flag} = 'R'", orig | {"CST": "'51'"} | deferred | normal),
+        "ICMS60": _sql_group("l_linenumber = 6", orig | {"CST": "'60'"} | retained),
+        "ICMS61": _sql_group("l_linenumber = 5", orig | {"CST": "'61'"} | per_unit),
+        "ICMS70": _sql_group("l_linenumber = 4", orig | {"CST": "'70'"} | reduced | normal | substituted),
+        "ICMSSN101": _sql_group("l_linenumber = 7", orig | {"CSOSN": "'101'"}),
+    }
+    taxed = {"CST": "'50'", "vBC": _sql_text(_PRICE), "pIPI": "'5.0000'", "vIPI": _sql_share("0.05")}
+    ipi = {
+        "IPITrib": _sql_group("l_linestatus = 'F'", taxed),
+        "IPINT": _sql_group("l_linestatus <> 'F'", {"CST": "'53'"}),
     }
-    icms = F.struct(
-        _group(by_flag & (flag == "A"), orig=orig, CST="00", **normal).alias("ICMS00"),
-        _group(by_flag & (flag == "N"), orig=orig, CST="20", pRedBC=_text(discount), **normal).alias("ICMS20"),
-        _group(
-            by_flag & (flag == "R"), orig=orig, CST="51", pDif="33.3300", vICMSDif=_share(price, "0.0100"), **normal
-        ).alias("ICMS51"),
-        _group(line == 6, orig=orig, CST="60", vBCSTRet=_text(price), pST="18.0000", vICMSSTRet=_share(price, "0.1800")).alias("ICMS60"),
-        _group(
-            line == 5,
-            orig=orig,
-            CST="61",
-            qBCMonoRet=_text(_dec("l_quantity", "decimal(18,4)")),
-            adRemICMSRet="1.2500",
-            vICMSMonoRet=_share(price, "0.0300"),
-        ).alias("ICMS61"),
-        _group(line == 4, orig=orig, CST="70", pRedBC=_text(discount), **normal, **substituted).alias("ICMS70"),
-        _group(line == 7, orig=orig, CSOSN="101").alias("ICMSSN101"),
-    )
-    ipi = F.struct(
-        _group(status == "F", CST="50", vBC=_text(price), pIPI="5.0000", vIPI=_share(price, "0.0500")).alias("IPITrib"),
-        _group(status != "F", CST="53").alias("IPINT"),
-    )
 
-    def contribution(name: str, percent: str, rate: str) -> Column:
-        amount = {"vBC": _text(price), f"p{name}": percent, f"v{name}": _share(price, rate)}
-        high = discount >= F.lit("0.05").cast("decimal(9,4)")
-        return F.struct(
-            _group(high, CST="01", **amount).alias(f"{name}Aliq"),
-            _group(~high & (status == "F"), CST="99", **amount).alias(f"{name}Outr"),
-            _group(~high & (status != "F"), CST="07").alias(f"{name}NT"),
+    def contribution(name: str, percent: str, rate: str) -> str:
+        amount = {"vBC": _sql_text(_PRICE), f"p{name}": f"'{percent}'", f"v{name}": _sql_share(rate)}
+        high, status = f"{_DISCOUNT} >= 0.05", "l_linestatus"
+        return _sql_struct(
+            {
+                f"{name}Aliq": _sql_group(high, {"CST": "'01'"} | amount),
+                f"{name}Outr": _sql_group(f"NOT ({high}) AND {status} = 'F'", {"CST": "'99'"} | amount),
+                f"{name}NT": _sql_group(f"NOT ({high}) AND {status} <> 'F'", {"CST": "'07'"}),
+            }
         )
 
-    product = F.struct(
-        _text(part).alias("cProd"),
-        F.concat(F.lit("Item "), _text(part)).alias("xProd"),
-        _padded(part % 20, 8).alias("NCM"),
-        F.when(flag == "R", "5202").otherwise("5102").alias("CFOP"),
-        F.lit("UN").alias("uCom"),
-        _text(_dec("l_quantity", "decimal(18,4)")).alias("qCom"),
-        _text(price.cast("decimal(21,10)")).alias("vUnCom"),
-        _text(price).alias("vProd"),
-        F.when(part % 5 == 0, _padded(part % 100, 7)).alias("CEST"),
-    )
-    taxes = F.struct(
-        icms.alias("ICMS"),
-        F.when(line != 1, ipi).alias("IPI"),
-        contribution("PIS", "1.6500", "0.0165").alias("PIS"),
-        contribution("COFINS", "7.6000", "0.0760").alias("COFINS"),
-    )
-    return F.struct(
-        F.when(broken == 3, "x").otherwise(_text(line)).alias("_nItem"),
-        product.alias("prod"),
-        F.when(F.coalesce(broken != 2, F.lit(True)), taxes).alias("imposto"),
-    )
+    product = {
+        "cProd": _sql_text("l_partkey"),
+        "xProd": f"concat('Item ', {_sql_text('l_partkey')})",
+        "NCM": f"lpad({_sql_text('l_partkey % 20')}, 8, '0')",
+        "CFOP": "CASE WHEN l_returnflag = 'R' THEN '5202' ELSE '5102' END",
+        "uCom": "'UN'",
+        "qCom": _QUANTITY,
+        "vUnCom": _sql_text(f"CAST({_PRICE} AS DECIMAL(21,10))"),
+        "vProd": _sql_text(_PRICE),
+        "CEST": f"CASE WHEN l_partkey % 5 = 0 THEN lpad({_sql_text('l_partkey % 100')}, 7, '0') END",
+    }
+    taxes = {
+        "ICMS": _sql_struct(icms),
+        "IPI": f"CASE WHEN l_linenumber <> 1 THEN {_sql_struct(ipi)} END",
+        "PIS": contribution("PIS", "1.6500", "0.0165"),
+        "COFINS": contribution("COFINS", "7.6000", "0.076"),
+    }
+    item = {
+        "_nItem": f"CASE WHEN {broken} = 3 THEN 'x' ELSE {_sql_text('l_linenumber')} END",
+        "prod": _sql_struct(product),
+        "imposto": f"CASE WHEN coalesce({broken} <> 2, true) THEN {_sql_struct(taxes)} END",
+    }
+    return F.expr(_sql_struct(item))
 
 
 def _stamp(day: Column) -> Column:
     return F.concat(_text(day.cast("date")), F.lit("T12:00:00-03:00"))
 
 
-def _broken(key: Column, broken_every: int | None) -> Column:
-    """Which of four ways a document is broken; NULL for a sound one."""
+def _broken(broken_every: int | None) -> str:
+    """SQL for which of four ways a document is broken; NULL for a sound one."""
     if broken_every is None:
-        return F.lit(None).cast("int")
-    turn = F.floor(key / F.lit(broken_every)) % 4
-    return F.when(key % broken_every == 0, turn.cast("int"))
+        return "CAST(NULL AS INT)"
+    every = int(broken_every)
+    return f"CASE WHEN l_orderkey % {every} = 0 THEN CAST((l_orderkey DIV {every}) % 4 AS INT) END"
 
 
 def nfe_documents(
@@ -142,7 +155,7 @@ def nfe_documents(
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     ]
     blocks = bounded_blocks(lineitem.select(*wanted), key, items_per_document, wanted[1:], heavy=heavy)
-    item = _item(_broken(F.col("l_orderkey"), broken_every))
+    item = _item(_broken(broken_every))
     grouped = blocks.groupBy("l_orderkey", SALT, BLOCK).agg(F.collect_list(item).alias("det"))
 
     # Customers and suppliers have one row per key. A heavy one sits on the order side of a plain
@@ -159,7 +172,7 @@ def nfe_documents(
     order = grouped.join(replicated(header, key, heavy, SALTS), ["l_orderkey", SALT])
 
     k, buyer, maker = F.col("l_orderkey"), F.col("o_custkey"), F.col("s_suppkey")
-    broken = _broken(k, broken_every)
+    broken = F.expr(_broken(broken_every))
     reference = lambda n: F.struct(_padded(k + n, 44).alias("refNFe"))
     ide = F.struct(
         F.lit("Venda").alias("natOp"),
@@ -196,7 +209,7 @@ def nfe_documents(
     nfe = F.struct(F.lit(NAMESPACE + "nfe").alias("_xmlns"), body.alias("infNFe"))
     written = order.select(
         F.concat_ws("/", F.lit("nfe"), "l_orderkey", SALT, BLOCK).alias("path"),
-        F.to_xml(F.struct(nfe.alias("NFe")), {"rowTag": "nfeProc"}).alias("text"),
+        F.to_xml(F.struct(nfe.alias("NFe")), {"rowTag": "nfeProc", "indent": ""}).alias("text"),
         broken.alias("broken"),
     )
     half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
@@ -261,7 +274,7 @@ def cte_documents(orders: DataFrame, customer: DataFrame) -> DataFrame:
     cte = F.struct(F.lit(NAMESPACE + "cte").alias("_xmlns"), body.alias("infCte"))
     return order.select(
         F.concat_ws("/", F.lit("cte"), "o_orderkey").alias("path"),
-        F.to_xml(F.struct(cte.alias("CTe")), {"rowTag": "cteProc"}).alias("text"),
+        F.to_xml(F.struct(cte.alias("CTe")), {"rowTag": "cteProc", "indent": ""}).alias("text"),
     )
 
 
