@@ -36,7 +36,8 @@ def _aggregates(source: DataFrame) -> DataFrame:
         tests.append(value.rlike(CLOCK).alias(f"clock_seen{i}"))
         # The rough shape comes first, so cells of other kinds cost one test instead of four.
         dated = value.rlike(DATE_LIKE)
-        tests.extend((dated & to_timestamp(value, f).isNotNull()).alias(f"{f}{i}") for f in DATE_FORMATS)
+        for f in DATE_FORMATS:
+            tests.append(F.when(value.isNotNull(), dated & to_timestamp(value, f).isNotNull()).alias(f"{f}{i}"))
     facts = []
     for i in width:
         parts = [
