@@ -190,7 +190,7 @@ def normalize_names(spark, folder):
 
 def _untyped(spark, folder) -> DataFrame:
     """All kinds of text columns for type inference."""
-    o = table(spark, folder, "orders")
+    o = spread(table(spark, folder, "orders"))
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     extra = {
         "paid": F.when(key % 2 == 0, "Sim").otherwise("Não"),

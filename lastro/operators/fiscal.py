@@ -277,13 +277,12 @@ def parse(docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE), columns: Seque
     """Parse each document of the given types once: ``(path, doc_type, NFe and/or CTe)``.
 
     A type's column is an array of ``(reason, body)``, so that a batch root gives all of its
-    documents. ``reason`` is NULL for good ones.
+    documents; it is NULL for files of another type. ``reason`` is NULL for good documents. A file that
+    could not be decoded has the type ``unreadable encoding``. No filter
+    removes the other files here: it would be pushed below the column that makes the text, and the
+    text be decoded twice.
     """
     text = F.col("text")
-    if len(doc_types) == 1:
-        typed = docs.filter(is_type(text, doc_types[0])).withColumn("doc_type", F.lit(doc_types[0]))
-    else:
-        typed = with_type(docs).filter(F.col("doc_type").isNotNull())
     options = {
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": "_bad",
@@ -291,11 +290,14 @@ def parse(docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE), columns: Seque
         "ignoreSurroundingSpaces": "false",
     }
     schemas = {t: _schemas(t, columns) for t in doc_types}
+    named = document_type(text) if len(doc_types) > 1 else F.when(is_type(text, doc_types[0]), doc_types[0])
+    named = F.when(text.isNull(), UNREADABLE).otherwise(named)
     # The parser stops at the end of the root; text behind it makes a document malformed.
+    typed = docs.select("path", "text", named.alias("doc_type"), _ended(text).alias("ended"))
     xml = typed.select(
         "path",
         "doc_type",
-        _ended(text).alias("ended"),
+        "ended",
         *[F.when(F.col("doc_type") == t, F.from_xml(_rooted(text, t), schemas[t][0], options)).alias(t) for t in doc_types],
     )
     return xml.select("path", "doc_type", *[_checked(t, schemas[t][1]).alias(t) for t in doc_types])
@@ -303,18 +305,25 @@ def parse(docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE), columns: Seque
 
 def _checked(doc_type: str, schema: T.StructType) -> Column:
     x, body = F.col(doc_type), _BODY[doc_type]
+
+    def failed(reason: str) -> Column:
+        return F.array(F.struct(F.lit(reason).alias("reason"), F.lit(None).cast(schema).alias("body")))
+
     bodies = F.filter(F.transform(x[doc_type], lambda d: d[body]), lambda b: b.isNotNull())
     good = F.transform(bodies, lambda b: F.struct(_reason(b, doc_type).alias("reason"), b.alias("body")))
-    failed = F.struct(F.lit(MALFORMED).alias("reason"), F.lit(None).cast(schema).alias("body"))
     broken = x["_bad"].isNotNull() | ~F.col("ended")
-    return F.when(F.col("doc_type") == doc_type, F.when(broken, F.array(failed)).otherwise(good))
+    found = F.when(F.size(bodies) > 0, good).otherwise(failed(NO_DOCUMENT))
+    return F.when(F.col("doc_type") == doc_type, F.when(broken, failed(MALFORMED)).otherwise(found))
 
 
 def documents(parsed_docs: DataFrame, doc_type: str) -> DataFrame:
-    """One row ``(path, body, reason)`` per document; a file without any has a NULL body."""
-    one = parsed_docs.filter(F.col("doc_type") == doc_type).select("path", F.explode_outer(doc_type).alias("d"))
-    reason = F.when(F.col("d").isNull(), NO_DOCUMENT).otherwise(F.col("d.reason"))
-    return one.select("path", F.col("d.body").alias("body"), reason.alias("reason"))
+    """One row ``(path, body, reason)`` per document; a file without any has a NULL body.
+
+    Files of other types leave after the explode: a plain explode would infer a filter on the
+    parsed column and have every document parsed twice.
+    """
+    one = parsed_docs.select("path", F.explode_outer(doc_type).alias("d")).filter(F.col("d").isNotNull())
+    return one.select("path", F.col("d.body").alias("body"), F.col("d.reason").alias("reason"))
 
 
 def _reason(body: Column, doc_type: str) -> Column:
@@ -371,9 +380,9 @@ def rejected(parsed_docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE)) -> D
     return union_ragged(found)
 
 
-def unreadable(docs: DataFrame) -> DataFrame:
+def unreadable(parsed_docs: DataFrame) -> DataFrame:
     """Documents whose bytes do not fit their declared encoding."""
-    return docs.filter(F.col("text").isNull()).select(
+    return parsed_docs.filter(F.col("doc_type") == UNREADABLE).select(
         "path", F.lit(None).cast("string").alias("doc_type"), F.lit(UNREADABLE).alias("reason")
     )
 
@@ -381,4 +390,4 @@ def unreadable(docs: DataFrame) -> DataFrame:
 def rejects(docs: DataFrame) -> DataFrame:
     """All documents that yield no records; parses only what the checks need."""
     found = [rejected(parse(docs, [t], [DOCUMENT_KEY[t]]), [t]) for t in (NFE, CTE)]
-    return union_ragged([*found, unreadable(docs)])
+    return union_ragged([*found, unreadable(parse(docs, [CTE], []))])

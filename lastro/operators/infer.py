@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastro.functions.values import CLOCK, DATE_FORMATS, DIGITS, is_boolean_token, is_number, to_timestamp
+from lastro.functions.values import BOOLEAN_TOKENS, CLOCK, DATE_FORMATS, DIGITS, is_boolean_token, is_number, to_timestamp
 
 MAX_INTEGER_DIGITS = 18
+LONGEST_TOKEN = max(map(len, BOOLEAN_TOKENS))
 DATE_LIKE = r"^\s*([0-9]{1,4}[-/.][0-9]{1,2}[-/.]|[0-9]{2}:[0-9]{2})"
 
 
@@ -29,13 +30,14 @@ def _aggregates(source: DataFrame) -> DataFrame:
     tests = []
     for i in width:
         value = F.col(f"v{i}")
+        # Cheap tests stand in front of costly ones, so most cells meet two or three patterns.
+        digits = value.rlike(DIGITS)
+        dated = ~digits & value.rlike(DATE_LIKE)
         tests.append(value)
-        tests.append(is_number(value).alias(f"number{i}"))
-        tests.append(value.rlike(DIGITS).alias(f"digits{i}"))
-        tests.append(is_boolean_token(value).alias(f"token{i}"))
-        tests.append(value.rlike(CLOCK).alias(f"clock_seen{i}"))
-        # The rough shape comes first, so cells of other kinds cost one test instead of four.
-        dated = value.rlike(DATE_LIKE)
+        tests.append(digits.alias(f"digits{i}"))
+        tests.append((digits | is_number(value)).alias(f"number{i}"))
+        tests.append(((F.length(value) <= LONGEST_TOKEN) & is_boolean_token(value)).alias(f"token{i}"))
+        tests.append((dated & value.rlike(CLOCK)).alias(f"clock_seen{i}"))
         for f in DATE_FORMATS:
             tests.append(F.when(value.isNotNull(), dated & to_timestamp(value, f).isNotNull()).alias(f"{f}{i}"))
     facts = []
