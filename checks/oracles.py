@@ -417,6 +417,9 @@ SELECT table_name, key_columns FROM asked LEFT JOIN (SELECT * FROM log WHERE age
     "load_replace_append": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS o_custkey, "
     "o_orderpriority, _PK FROM (SELECT CAST(o_orderkey AS VARCHAR) AS _PK, * FROM orders) "
     "WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+    "load_documents_append": "SELECT lpad(CAST(l_orderkey AS VARCHAR), 44, '0') AS _PK, l_linenumber AS No_Item, "
+    f"{PRICE} AS Vlr_Produto FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL "
+    f"SELECT lpad(CAST(o_orderkey AS VARCHAR), 44, '0'), 0, {TOTAL} FROM orders JOIN customer ON c_custkey = o_custkey",
     "incremental_append": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, "
     "CAST(p_partkey AS VARCHAR) AS _PK FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
 }

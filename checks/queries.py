@@ -14,7 +14,7 @@ from lastro.operators.keys import append_counts, first_per_key, new_records, wit
 from lastro.operators.registry import latest_state, with_key_columns
 from lastro.operators.reports import price_history, report_on, row_counts, tax_by_code, top_suppliers
 from lastro.operators.shape import align, coerce, declared_schema, union_ragged
-from lastro.plans.fiscal import CSV_OUT, FiscalData, export_by_type
+from lastro.plans.fiscal import CSV_OUT, FiscalData, export_by_type, load_documents
 from lastro.plans.load import append_tables, replace_tables
 from lastro.plans.order_documents import cte_documents, mixed_documents, nfe_documents
 from lastro.session import shared_folder, spread
@@ -345,9 +345,17 @@ def table_row_counts(spark, folder):
     return row_counts({name: table(spark, folder, name) for name in TABLES})
 
 
+def _new_database(spark) -> str:
+    """A database of its own per run, in the shared folder."""
+    path = shared_folder(spark, "check")
+    name = f"check_{path[-12:]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    return name
+
+
 def load_replace_append(spark, folder):
     """Replace a keyed, typed table, then append an overlapping batch with another column order."""
-    name = "lastro_check_orders"
+    name = f"{_new_database(spark)}.orders"
     text = as_text(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
     key = F.col("o_orderkey").cast("bigint")
     first = text.filter(key % 3 == 0)
@@ -357,9 +365,21 @@ def load_replace_append(spark, folder):
     return spark.table(name)
 
 
+def load_documents_append(spark, folder):
+    """Load the even orders' documents, then append all of them: each document once, with all items."""
+    database = _new_database(spark)
+    docs = nfe_docs(spark, folder).unionByName(cte_docs(spark, folder))
+    even = F.split("path", "/")[1].cast("bigint") % 2 == 0
+    load_documents(spark, docs.filter(even), database=database, typed=True)
+    load_documents(spark, docs, database=database, typed=True, append=True)
+    nfe = spark.table(f"{database}.NFe").select("_PK", "No_Item", "Vlr_Produto")
+    cte = spark.table(f"{database}.CTe").select("_PK", F.lit(0).alias("No_Item"), F.col("VLR_Servico").alias("Vlr_Produto"))
+    return nfe.unionByName(cte)
+
+
 def incremental_append(spark, folder):
     """Two overlapping landings in one folder, taken up by a stream one file at a time."""
-    name = "lastro_check_landing"
+    name = f"{_new_database(spark)}.landing"
     text = as_text(table(spark, folder, "part").select("p_partkey", "p_name", "p_size"))
     key = F.col("p_partkey").cast("bigint")
     landing, checkpoint = shared_folder(spark, "landing"), shared_folder(spark, "landing-state")
@@ -380,6 +400,6 @@ QUERIES = {
         coerce_real, coerce_numeric, coerce_boolean, coerce_date, coerce_datetime, coerce_by_type_map,
         stringify_cells, composite_key, append_dedup, append_dedup_counts, enforce_key, align_schema,
         union_ragged_tables, key_registry_lookup, catalog_report_tables, table_row_counts,
-        load_replace_append, incremental_append,
+        load_replace_append, load_documents_append, incremental_append,
     )
 }

@@ -26,21 +26,34 @@ def latest_state(log: DataFrame) -> DataFrame:
     )
 
 
-def current_registry(spark: SparkSession) -> DataFrame:
-    if spark.catalog.tableExists(REGISTRY):
-        return latest_state(spark.table(REGISTRY))
-    return spark.createDataFrame([], SCHEMA)
+def _split(table: str) -> tuple[str | None, str]:
+    """Database, if named, and table; every database has a registry of its own."""
+    database, _, name = table.rpartition(".")
+    return database or None, name
+
+
+def qualified(name: str, database: str | None = None) -> str:
+    return f"{database}.{name}" if database else name
+
+
+def current_registry(spark: SparkSession, database: str | None = None) -> DataFrame:
+    stored = qualified(REGISTRY, database)
+    return latest_state(spark.table(stored)) if spark.catalog.tableExists(stored) else spark.createDataFrame([], SCHEMA)
 
 
 def register_key(spark: SparkSession, table: str, columns: Sequence[str] | None) -> None:
     """Record the key columns of a table; ``None`` or none at all removes its entry."""
-    entry = spark.createDataFrame([(table, list(columns) if columns else None)], "table_name string, key_columns array<string>")
-    entry.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").saveAsTable(REGISTRY)
+    database, name = _split(table)
+    schema = "table_name string, key_columns array<string>"
+    entry = spark.createDataFrame([(name, list(columns) if columns else None)], schema)
+    stamped = entry.withColumn("created_at", F.current_timestamp()).coalesce(1)
+    stamped.write.mode("append").saveAsTable(qualified(REGISTRY, database))
 
 
 def key_columns(spark: SparkSession, table: str) -> list[str] | None:
     """The key columns of one table: a single registry row reaches the driver."""
-    row = current_registry(spark).filter(F.col("table_name") == table).first()
+    database, name = _split(table)
+    row = current_registry(spark, database).filter(F.col("table_name") == name).first()
     return list(row.key_columns) if row else None
 
 

@@ -138,3 +138,19 @@ def test_landing_folder(fresh, tmp_path):
         append_delimited(spark, landing, "t", ["k", "v"], state, files_per_batch=1).awaitTermination()
     append_delimited(spark, landing, "t", ["k", "v"], state).awaitTermination()
     assert sorted(int(r.k) for r in spark.table("t").collect()) == list(range(30))
+
+
+def test_each_database_has_its_own_registry(fresh, tmp_path):
+    spark = fresh
+    df = spark.createDataFrame([("1", "x")], ["k", "v"])
+    for name in ("one", "two"):
+        spark.sql(f"CREATE DATABASE {name} LOCATION '{tmp_path}/{name}'")
+    try:
+        replace_tables(spark, {"one.t": df, "two.t": df}, keys={"one.t": ["k"], "two.t": ["v"]})
+        assert key_columns(spark, "one.t") == ["k"] and key_columns(spark, "two.t") == ["v"]
+        assert key_columns(spark, "t") is None
+        report = catalog_report(spark, current_registry(spark, "two"), database="two", counts=True).first()
+        assert (report.table_name, report.key_columns, report.n_rows) == ("t", "v", 1)
+    finally:
+        for name in ("one", "two"):
+            spark.sql(f"DROP DATABASE {name} CASCADE")
