@@ -140,6 +140,16 @@ def test_landing_folder(fresh, tmp_path):
     assert sorted(int(r.k) for r in spark.table("t").collect()) == list(range(30))
 
 
+def test_landing_stops_at_a_long_record(fresh, tmp_path):
+    spark = fresh
+    replace_tables(spark, {"t": spark.createDataFrame([("1", "x")], ["k", "v"])}, keys={"t": ["k"]})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("k,v\n2,x\n3,y,z\n")
+    with pytest.raises(Exception, match="more than 2 cells"):
+        append_delimited(spark, str(tmp_path / "in"), "t", ["k", "v"], str(tmp_path / "state")).awaitTermination()
+    assert spark.table("t").count() == 1
+
+
 def test_each_database_has_its_own_registry(fresh, tmp_path):
     spark = fresh
     df = spark.createDataFrame([("1", "x")], ["k", "v"])
