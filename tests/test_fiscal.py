@@ -276,3 +276,17 @@ def test_landing_xml(fresh, folder, tmp_path):
 def test_batch_root_with_one_bad_document_keeps_the_other(spark):
     parsed = parse(frame(spark, d=proc(nfe("5") + nfe("6", ide=""), root="enviNFe")), [NFE])
     assert rows(documents(parsed, NFE).select("body._Id", "reason")) == [("NFe5", None), ("NFe6", "no ide")]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(64):
+        (tmp_path / f"{i}.xml").write_text(nfe(str(i)))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        assert files.rdd.getNumPartitions() == 64
+        docs = read_xml_folder(spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() == 32
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert flatten(docs, NFE).select("Chave_NFe").distinct().count() == 64
