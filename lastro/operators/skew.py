@@ -47,8 +47,9 @@ def _salted(df: DataFrame, keys: Sequence[str], heavy: Column, salts: int) -> Da
     The spread depends on the row's content (rows differ) and on the task's number (copies of one
     row sit in different tasks). Both are the same when a lost task runs again.
     """
-    atoms = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *atoms), F.lit(salts)).cast("int")
+    kinds = ((f.name, f.dataType.simpleString()) for f in df.schema.fields)
+    hashable = [F.col(f"`{name}`") for name, kind in kinds if "map<" not in kind and "variant" not in kind]
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(salts)).cast("int")
     is_heavy = F.array_contains(heavy, F.xxhash64(*keys))
     return df.withColumn(SALT, F.when(is_heavy, spread).otherwise(F.lit(0)))
 

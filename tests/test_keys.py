@@ -76,6 +76,15 @@ def test_heavy_rows_spread_over_the_salts(spark):
     assert parts.filter("k <> 'hot'").select(SALT).distinct().count() == 1
 
 
+def test_salting_frames_with_maps_and_nulls(spark):
+    left = spark.range(3000, numPartitions=3).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN NULL ELSE id % 9 END AS k", "map('a', id) AS m", "id AS `v.w`"
+    )
+    right = spark.createDataFrame([(1,), (None,)], "k long")
+    got = skew_join(left, right, ["k"], "left_anti", min_rows=100)
+    assert got.count() == left.join(right, "k", "left_anti").count()
+
+
 def test_blocks_are_bounded_and_whole(spark):
     df = skewed(spark)
     parts = bounded_blocks(df, ["k"], 50, ["v"], min_rows=1000)

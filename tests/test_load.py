@@ -65,6 +65,15 @@ def test_key_is_built_from_the_text_as_read(fresh):
     assert rows(spark.table("t")) == [(7, "x", "007")]
 
 
+def test_append_reads_dates_as_declared(fresh):
+    spark = fresh
+    df = lambda *data: spark.createDataFrame(list(data), ["k", "d"])
+    types = {"t": {"d": "DATE:dmy"}}
+    replace_tables(spark, {"t": df(("1", "31/12/2024"))}, types, {"t": ["k"]})
+    append_tables(spark, {"t": df(("2", "01/02/2024"))}, types)
+    assert [(r.k, str(r.d)) for r in spark.table("t").orderBy("k").collect()] == [("1", "2024-12-31"), ("2", "2024-02-01")]
+
+
 def test_unkeyed_append_keeps_everything(fresh):
     spark = fresh
     df = spark.createDataFrame([("1",), ("1",)], ["k"])
