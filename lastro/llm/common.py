@@ -1,7 +1,7 @@
 """What several operators share: reading, scratch tables, words in Arrow arrays, and counts by key over all blocks.
 
 A *block* is a run of documents of one task, about ``BLOCK_WORDS`` words long, held as one row: document ids, word
-offsets, word codes and the 64-bit hash of each distinct word. Blocks are written to the shared folder once, so that
+offsets, word codes and the distinct words. Blocks are written to the shared folder once, so that
 their numbers stay valid when executors are lost. ``totals`` sums counts of 64-bit keys over all blocks: each block
 sends one packed row per shard, so a frequent key travels once per block whatever its number of occurrences.
 """
@@ -23,7 +23,8 @@ from lastro.session import shared_folder
 
 BLOCK_WORDS = 1_000_000
 SLICE_BYTES = 8 << 20
-BLOCK_SCHEMA = "block long, doc_ids array<bigint>, flags array<int>, offsets binary, codes binary, hashes binary"
+BLOCK_SCHEMA = "block long, doc_ids array<bigint>, flags array<int>, offsets binary, codes binary, words binary"
+NEWLINE = b"\n"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,9 +78,33 @@ def strings(words: pa.Array) -> np.ndarray:
     return words.cast(pa.large_string()).to_numpy(zero_copy_only=False)
 
 
-def hash_words(words: pa.Array) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(h, strings(words)), dtype=np.uint64, count=len(words))
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words that start at each place of ``h``, built by doubling; shorter by ``n - 1``."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    powers, out, done = {1: h}, None, 0
+    size = 1
+    while 2 * size <= n:
+        x = powers[size]
+        powers[2 * size] = mix(x[:-size], x[size:])
+        size *= 2
+    for size in sorted(powers, reverse=True):
+        if n & size:
+            x = powers[size][done:]
+            out = x if out is None else mix(out[: len(x)], x[: len(out)])
+            done += size
+    return out[: len(h) - n + 1]
+
+
+def inside(offsets: np.ndarray, n: int) -> np.ndarray:
+    """True for each word at which ``n`` words of its own document start; as long as ``gram_hashes``."""
+    total = int(offsets[-1])
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(total)
+    return (left >= n)[: max(0, total - n + 1)]
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,9 +137,9 @@ def blocks(docs: DataFrame, lower: bool = False, block_words: int = BLOCK_WORDS)
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([base + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.int32())),
-                    pa.array([pack(offsets)], pa.binary()), pa.array([pack(codes)], pa.binary()), pa.array([hash_words(distinct).tobytes()], pa.binary()),
+                    pa.array([pack(offsets)], pa.binary()), pa.array([pack(codes)], pa.binary()), pa.array([zstandard.compress(NEWLINE.join(x.encode() for x in strings(distinct)), 1)], pa.binary()),
                 ],
-                names=["block", "doc_ids", "flags", "offsets", "codes", "hashes"],
+                names=["block", "doc_ids", "flags", "offsets", "codes", "words"],
             )
             n, held, words = n + 1, [], 0
             return out
@@ -130,9 +155,9 @@ def blocks(docs: DataFrame, lower: bool = False, block_words: int = BLOCK_WORDS)
     return stored(docs.select("doc_id", "flag", "text").mapInArrow(build, BLOCK_SCHEMA), "blocks")
 
 
-def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word offsets by document, word codes and word hashes of a block's row."""
-    return unpack(row["offsets"], np.int64), unpack(row["codes"], np.int32), np.frombuffer(row["hashes"], np.uint64)
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Word offsets by document, word codes and distinct words, in UTF-8, of a block's row."""
+    return unpack(row["offsets"], np.int64), unpack(row["codes"], np.int32), zstandard.decompress(row["words"]).split(NEWLINE)
 
 
 def shards_for(spark: SparkSession, n_blocks: int, keys_per_block: int = BLOCK_WORDS, keys_per_shard: int = 4_000_000) -> int:
@@ -140,12 +165,13 @@ def shards_for(spark: SparkSession, n_blocks: int, keys_per_block: int = BLOCK_W
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks * keys_per_block // keys_per_shard + 1)
 
 
-def totals(frame: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray]], shards: int) -> DataFrame:
+def totals(frame: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray]], shards: int, repeated: bool = False) -> DataFrame:
     """Sums over all blocks of the counts of each block's keys: ``(block, shard, total, n_keys, n_sum)``.
 
     ``keys(row)`` gives a block's distinct keys, sorted, with counts. ``total`` packs the sums in the order of those
     keys within the shard; ``merge`` puts the shards together. ``n_keys`` and ``n_sum`` are the shard's number of even
-    keys with a positive sum and their sum, in one row of the shard.
+    keys with a positive sum and their sum, in one row of the shard. With ``repeated``, ``total`` holds instead those
+    of the block's keys whose sum is 2 or more.
     """
 
     def send(batches):
@@ -175,7 +201,8 @@ def totals(frame: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray
         even = sums[(distinct & np.uint64(1)) == 0]
         out, at = [], 0
         for k in ks:
-            out.append(pack(sums[back[at : at + len(k)]]))
+            total = sums[back[at : at + len(k)]]
+            out.append(k[total > 1].tobytes() if repeated else pack(total))
             at += len(k)
         first = [1] + [0] * (len(ks) - 1)
         return pa.table(
@@ -202,6 +229,19 @@ def merge(keys: np.ndarray, shards: int, rows: list[tuple[int, bytes]]) -> np.nd
     return out
 
 
+def found(rows: list[tuple[int, bytes]]) -> np.ndarray:
+    """The repeated keys of a block, sorted."""
+    return np.sort(np.concatenate([np.frombuffer(t, np.uint64) for _, t in rows])) if rows else np.zeros(0, np.uint64)
+
+
+def among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of ``x`` is one of the sorted ``keys``."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return keys[at] == x
+
+
 def with_totals(frame: DataFrame, sums: DataFrame, work: Callable[[dict, list[tuple[int, bytes]]], pa.Table], schema: str) -> DataFrame:
     """Bring the totals back to their blocks: ``work(block row, (shard, total) rows)`` gives a table."""
 

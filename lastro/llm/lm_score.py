@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import blocks, merge, mix, number, opened, shards_for, stored, table, totals, with_totals
+from lastro.llm.common import blocks, hash_words, merge, mix, number, opened, shards_for, stored, table, totals, with_totals
 
 BUCKETS, CELLS, PER_OCTAVE, ROUNDS = 12, 128, 3, 60
 START, END = np.uint64(0x517CC1B727220A95), np.uint64(0x2545F4914F6CDD1D)
@@ -26,7 +26,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 def token_arrays(row: dict) -> tuple:
     """Per token, words then one end a text: its word and context as positions in ``h``, and its document."""
-    offsets, codes, hashes = opened(row)
+    offsets, codes, words = opened(row)
+    hashes = hash_words(words)
     n = np.diff(offsets)
     h = np.concatenate([hashes, [END, START]])
     doc = np.repeat(np.arange(len(n)), n + 1)

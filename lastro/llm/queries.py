@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from lastro.llm.lm_score import op1_lm_score
+from lastro.llm.minhash import op6_minhash_dedup
 from lastro.llm.packing import op8_packing
+from lastro.llm.substring import op3_substring_dedup
 from lastro.llm.token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op8_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op3_substring_dedup, op6_minhash_dedup, op8_packing, op10_token_counts)}
 ORACLES: dict[str, str] = {}
