@@ -191,7 +191,7 @@ def rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     may = stored(may.select("band", "class", "root", "n"), "may-link")
     other = may.select("band", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
     sizes = F.lit(100) * F.least("n", "n_b") >= F.lit(PERCENT) * F.greatest("n", "n_b")
-    return may.join(other, "band").where((F.col("class") < F.col("b")) & (F.col("root") <> F.col("root_b")) & sizes).select(F.col("class").alias("a"), "b")
+    return may.join(other, "band").where((F.col("class") < F.col("b")) & (F.col("root") != F.col("root_b")) & sizes).select(F.col("class").alias("a"), "b")
 
 
 def op6_minhash_dedup(spark, folder: str) -> DataFrame:
