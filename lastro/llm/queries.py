@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from lastro.llm.lm_score import op1_lm_score
 from lastro.llm.minhash import op6_minhash_dedup
+from lastro.llm.mixing import MIX_SQL, op5_source_mix
 from lastro.llm.packing import op8_packing
 from lastro.llm.quality import op7_quality_rules
 from lastro.llm.quality_sql import QUALITY_SQL
 from lastro.llm.substring import op3_substring_dedup
 from lastro.llm.token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op3_substring_dedup, op6_minhash_dedup, op7_quality_rules, op8_packing, op10_token_counts)}
-ORACLES: dict[str, str] = {"op7_quality_rules": QUALITY_SQL}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op3_substring_dedup, op5_source_mix, op6_minhash_dedup, op7_quality_rules, op8_packing, op10_token_counts)}
+ORACLES: dict[str, str] = {"op5_source_mix": MIX_SQL, "op7_quality_rules": QUALITY_SQL}
