@@ -12,6 +12,7 @@ from lastro.llm.substring import op3_substring_dedup
 from lastro.llm.token_counts import op10_token_counts
 from lastro.llm.topk import TOP_K_SQL, op9_top_k
 from lastro.llm.toxicity import op2_toxicity
+from lastro.llm.warc import WARC_SQL, op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_substring_dedup, op5_source_mix, op6_minhash_dedup, op7_quality_rules, op8_packing, op9_top_k, op10_token_counts)}
-ORACLES: dict[str, str] = {"op5_source_mix": MIX_SQL, "op7_quality_rules": QUALITY_SQL, "op9_top_k": TOP_K_SQL}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_substring_dedup, op4_warc, op5_source_mix, op6_minhash_dedup, op7_quality_rules, op8_packing, op9_top_k, op10_token_counts)}
+ORACLES: dict[str, str] = {"op4_warc": WARC_SQL, "op5_source_mix": MIX_SQL, "op7_quality_rules": QUALITY_SQL, "op9_top_k": TOP_K_SQL}
