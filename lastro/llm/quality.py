@@ -83,10 +83,10 @@ def passes(line: Column) -> Column:
     return ~fails
 
 
-def judged(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``rules``: the counts, both verdicts, and ``cleaned``, the text without its failing lines."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    first = docs.withColumn("rules", F.struct(F.regexp_extract_all(whole, F.lit(WORD), 0).alias("words"), F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD)).alias("lines")))
+def judged(docs: DataFrame, into: str = "rules") -> DataFrame:
+    """``docs(text, ...)`` with a struct ``into``: the counts, both verdicts, and ``cleaned``, the text without its failing lines."""
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    first = docs.withColumn(into, F.struct(F.regexp_extract_all(whole, F.lit(WORD), 0).alias("words"), F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD)).alias("lines")))
 
     def counts(r):
         n_words, chars = F.size(r["words"]).cast("long"), solid(whole).cast("long")
@@ -102,16 +102,16 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
             let(F.filter(distinct, passes), verdict).alias("lines"),
         )
 
-    return verdicts(first.withColumn("rules", let(F.col("rules"), counts)))
+    return verdicts(first.withColumn(into, let(F.col(into), counts)), into)
 
 
-def verdicts(counted: DataFrame) -> DataFrame:
+def verdicts(counted: DataFrame, into: str) -> DataFrame:
     def both(x):
         base = (x["n_words"] < 50) | (F.lit(100) * x["n_repeat_words"] > F.lit(50) * x["n_words"])
         lost = F.lit(100) * x["lines"]["kept_chars"] < F.lit(KEEP) * x["word_chars"]
         return F.struct(*[x[c].alias(c) for c in COUNTS], base.alias("base_failed"), (~(base | lost)).alias("kept"), x["lines"]["cleaned"].alias("cleaned"))
 
-    return counted.withColumn("rules", let(F.col("rules"), both))
+    return counted.withColumn(into, let(F.col(into), both))
 
 
 def op7_quality_rules(spark, folder: str) -> DataFrame:
