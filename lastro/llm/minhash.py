@@ -9,9 +9,9 @@ Equal sets are one class, so copies cost one row each. No bucket lists its pairs
 
 1. ``HUB_ROUNDS`` times, the members of each bucket that spans several components are compared with one hub, and what
    links becomes one component.
-2. What still spans several components is compared exactly, after dropping classes that cannot link: a class of n
-   shingles, u of which no other open class has, reaches at most (n - u) / n. Edits make such shingles, so copies that
-   are too far apart to link fall out here, and the pairs that are left are those of the classes that may still link.
+2. What still spans several components is compared exactly, after counts of shared shingles exclude classes and pairs
+   that cannot link (``rest``). Copies with so many edits that they link with nothing fall out one by one, so large
+   groups of them make no pairs.
 
 Lower case is A-Z only. Fewer than 5 words are one shingle; without words or with a null text there is none and nothing
 is linked. A null ``doc_id`` counts for its class but is never the smallest; a component without any has a null id, and
@@ -183,15 +183,42 @@ def full_sets(held: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def rest(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs of different components that share a bucket, of the classes that may still link."""
-    open_sets = stored(sets.join(members.select("class").distinct(), "class", "left_semi"), "open-sets")
-    shingles = open_sets.select("class", F.explode("shingles").alias("s"))
-    alone = shingles.groupBy("s").agg(F.count("*").alias("times"), F.first("class").alias("class")).where("times = 1").groupBy("class").agg(F.count("*").alias("alone"))
-    may = members.join(alone, "class", "left").where(F.lit(100) * (F.col("n") - F.coalesce("alone", F.lit(0))) >= F.lit(PERCENT) * F.col("n"))
-    may = stored(may.select("band", "class", "root", "n"), "may-link")
-    other = may.select("band", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    sizes = F.lit(100) * F.least("n", "n_b") >= F.lit(PERCENT) * F.greatest("n", "n_b")
-    return may.join(other, "band").where((F.col("class") < F.col("b")) & (F.col("root") != F.col("root_b")) & sizes).select(F.col("class").alias("a"), "b")
+    """Pairs of different components that share a bucket and are not excluded by counts.
+
+    Classes that buckets connect are a group, and H is the set of shingles that half of the group has. A class A differs
+    from H in D(A), of which the shingles that no other class of the group has can be in no other D. Two classes differ in
+    d = |D(A)| + |D(B)| - 2 |D(A) and D(B)|, where the last is at most the lesser number of shared elements, and they
+    link only if PERCENT allows d. So a bucket's greatest and least counts exclude most classes one by one, and the
+    same test excludes most pairs of the others.
+    """
+    star = members.groupBy("band").agg(F.min("node").alias("v"))
+    groups = components(members.join(stored(star, "stars"), "band").select(F.col("node").alias("u"), "v"))
+    groups = groups.union(groups.select("root", "root").distinct()).toDF("node", "group_").distinct()
+    open_sets = stored(sets.join(members.select("class").distinct(), "class", "left_semi").join(groups, "node"), "open-sets")
+    shingles = stored(open_sets.select("group_", "class", F.explode("shingles").alias("s")), "open-shingles")
+    sizes = open_sets.groupBy("group_").agg(F.count("*").alias("classes"))
+    times = shingles.groupBy("group_", "s").agg(F.count("*").alias("times"))
+    times = stored(times.join(sizes, "group_").withColumn("common", (F.col("times") > 1) & (2 * F.col("times") >= F.col("classes"))), "shingle-counts")
+    common = times.where("common").groupBy("group_").agg(F.count("*").alias("h"))
+    parts = shingles.join(times, ["group_", "s"]).groupBy("class", "group_").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("times") == 1, 1)).alias("alone"), F.count(F.when(F.col("common"), 1)).alias("in_h")
+    )
+    delta = F.col("n") + F.coalesce("h", F.lit(0)) - 2 * F.col("in_h")
+    parts = parts.join(common, "group_", "left").select("class", delta.alias("d"), (delta - F.col("alone")).alias("shared"))
+    counted = stored(members.join(parts, "class"), "open-members")
+
+    allowed, whole = 100 - PERCENT, 100 + PERCENT
+    of_band = counted.groupBy("band").agg(F.max("n").alias("n_max"), F.min("d").alias("d_min"), F.max("shared").alias("shared_max"), F.max(2 * F.col("shared") - F.col("d")).alias("gain_max"))
+    room = F.lit(allowed) * (F.col("n") + F.col("n_max"))
+    may = counted.join(stored(of_band, "band-counts"), "band").where(
+        (F.lit(whole) * (F.col("d") - F.col("gain_max")) <= room) & (F.lit(whole) * (F.col("d") + F.col("d_min") - 2 * F.col("shared")) <= room)
+    )
+    may = stored(may.select("band", "class", "root", "n", "d", "shared"), "may-link")
+    other = may.select("band", *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "n", "d", "shared")])
+    differ = F.col("d") + F.col("d_b") - 2 * F.least("shared", "shared_b")
+    near = F.lit(whole) * differ <= F.lit(allowed) * (F.col("n") + F.col("n_b"))
+    pairs = may.join(other, "band").where((F.col("class") < F.col("class_b")) & (F.col("root") != F.col("root_b")) & near)
+    return pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b"))
 
 
 def op6_minhash_dedup(spark, folder: str) -> DataFrame:
