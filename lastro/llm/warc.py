@@ -1,7 +1,7 @@
 """WARC archives with an index: write records and where they are, then read chosen records by coalesced byte ranges.
 
-``write_archives`` writes one archive per task (a new one after ``ARCHIVE_BYTES``) and gives the index: file, offset,
-length, URL, digest and kind of each record. ``read_records`` takes any selection of index rows, deals stretches of
+``write_archives`` writes one archive per task (a new one after ``ARCHIVE_BYTES``), each record a gzip member of its own,
+and gives the index: file, offset, length, URL, digest and kind of each record. ``read_records`` takes any selection of index rows, deals stretches of
 archives over tasks, sorts them by offset, joins ranges with small gaps into one read, and parses the records.
 
 Of pages with equal payloads that with the largest ``page_id`` is stored as a response; the others are revisit records that
@@ -17,6 +17,7 @@ and only the index rows of attempts that succeed are kept, so lost or repeated a
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -48,7 +49,7 @@ def clean_url(url: str) -> str:
 
 
 def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str) -> bytes:
-    """One WARC record; a revisit keeps the HTTP header only."""
+    """One WARC record, a gzip member of its own; a revisit keeps the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     content = http + payload if kind == "response" else http
     fields = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {page_name(page_id)}", f"WARC-Date: {date}"]
@@ -58,12 +59,16 @@ def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date
     if kind == "revisit":
         fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {page_name(refers_to)}"]
     fields += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(content)}"]
-    return "\r\n".join(fields).encode() + b"\r\n\r\n" + content + b"\r\n\r\n"
+    return gzip.compress("\r\n".join(fields).encode() + b"\r\n\r\n" + content + b"\r\n\r\n", 1, mtime=0)
 
 
 def parse(data: bytes) -> dict:
     """The fields and the payload of a record."""
-    head, _, rest = bytes(data).partition(b"\r\n\r\n")
+    try:
+        whole = gzip.decompress(data)
+    except (OSError, EOFError) as error:
+        raise ValueError("no WARC record lies where the index says") from error
+    head, _, rest = whole.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record starts here")
@@ -107,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = EPOCH) -> DataFram
                 if out is None or offset >= ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
-                    name, offset = f"{uuid.uuid4().hex}.warc", 0
+                    name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = where.open_output_stream(f"{root}/{name}")
                 out.write(data)
                 index.append((name, offset, len(data), url, page_id, digest, kind))

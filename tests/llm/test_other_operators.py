@@ -83,7 +83,7 @@ def test_archives_round_trip(spark):
 def test_a_broken_archive_is_noticed(spark):
     folder = shared_folder(spark, "archives")
     index = write_archives(revisits(spark.createDataFrame([(1, "u", "x" * 50)], "page_id long, url string, html string")), folder)
-    with pytest.raises(Exception, match="does not end|no WARC record"):
+    with pytest.raises(Exception, match="no WARC record"):
         read_records(index.withColumn("length", F.col("length") - 1), folder).collect()
 
 
