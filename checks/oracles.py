@@ -394,10 +394,10 @@ UNION ALL SELECT NULL, NULL, NULL, CASE WHEN t = 0 THEN k || ',x,y,z' ELSE k ||
     "stringify_cells": "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS VARCHAR) AS ts, event_type FROM events",
     "composite_key": "SELECT l_orderkey, l_linenumber, l_quantity, nullif(l_partkey, 7) AS part, l_orderkey || '|' || "
     "coalesce(CAST(nullif(l_partkey, 7) AS VARCHAR), '') || '|' || l_linenumber AS _PK FROM lineitem",
-    "append_dedup": f"WITH i AS ({ITEM}) SELECT * FROM i b WHERE l_orderkey % 2 = 0 AND NOT EXISTS "
+    "append_dedup": f"WITH i AS ({ITEM}) SELECT * FROM i b WHERE (l_orderkey % 2 = 0 OR l_orderkey % 3 <> 0) AND NOT EXISTS "
     "(SELECT 1 FROM i e WHERE e.l_orderkey % 3 = 0 AND e._PK = b._PK)",
     "append_dedup_counts": f"WITH i AS ({ITEM}), b AS (SELECT *, EXISTS (SELECT 1 FROM i e WHERE e.l_orderkey % 3 = 0 "
-    "AND e._PK = i._PK) AS known FROM i WHERE l_orderkey % 2 = 0) SELECT count(*) AS incoming, "
+    "AND e._PK = i._PK) AS known FROM i WHERE l_orderkey % 2 = 0 OR l_orderkey % 3 <> 0) SELECT count(*) AS incoming, "
     "count(*) FILTER (NOT known) AS kept, count(*) FILTER (known) AS skipped FROM b",
     "enforce_key": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
     "ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, "
@@ -415,14 +415,26 @@ SELECT table_name, key_columns FROM asked LEFT JOIN (SELECT * FROM log WHERE age
     "catalog_report_tables": report(),
     "table_row_counts": counts(),
     "load_replace_append": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS o_custkey, "
-    "o_orderpriority, _PK FROM (SELECT CAST(o_orderkey AS VARCHAR) AS _PK, * FROM orders) "
-    "WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+    "o_orderpriority, _PK FROM (SELECT CAST(o_orderkey AS VARCHAR) AS _PK, * FROM orders)",
     "load_documents_append": "SELECT lpad(CAST(l_orderkey AS VARCHAR), 44, '0') AS _PK, l_linenumber AS No_Item, "
     f"{PRICE} AS Vlr_Produto FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL "
     f"SELECT lpad(CAST(o_orderkey AS VARCHAR), 44, '0'), 0, {TOTAL} FROM orders JOIN customer ON c_custkey = o_custkey",
     "incremental_append": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, "
-    "CAST(p_partkey AS VARCHAR) AS _PK FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
+    "CAST(p_partkey AS VARCHAR) AS _PK FROM part",
 }
 ORACLES["load_replace_append"] = ORACLES["load_replace_append"].replace(
     "SELECT o_orderkey,", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,", 1
 )
+ORACLES |= {
+    "append_typed_dates": "SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_orderdate AS DATE) AS d, "
+    "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL '10 hours 30 minutes' AS at, CAST(o_orderkey AS VARCHAR) AS _PK FROM orders",
+    "append_booleans": "SELECT CAST(o_orderkey AS VARCHAR) AS k, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS b, "
+    "CAST(o_orderkey AS VARCHAR) AS _PK FROM orders",
+    "append_empty_batch": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_custkey AS VARCHAR) AS _PK FROM customer",
+    "load_named_sheets": "SELECT COLUMNS(*)::VARCHAR, 'Plan_1' AS sheet FROM nation UNION ALL BY NAME SELECT COLUMNS(*)::VARCHAR, 'Acao_v12' AS sheet FROM region",
+    "coerce_date_dmy": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders",
+    "coerce_time": "SELECT o_orderkey, CASE WHEN o_orderkey % 30 < 24 THEN lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || ':' || "
+    "lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') END AS t FROM orders",
+    "xml_folder_encodings": "SELECT c_custkey, 'Ação ' || c_name AS inside FROM customer",
+    "load_documents_replayed": f"{ORACLES['nfe_reject_invalid']} UNION ALL SELECT 'NFe', 'kept', count(*) FROM ({ORACLES['nfe_keep_valid']})",
+}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lastro.operators.skew import BLOCK, MIN_ROWS, SALT, SALTS, bounded_blocks, heavy_keys, replicated
+from lastro.operators.skew import BLOCK, MIN_ROWS, SALT, bounded_blocks, heavy_keys, replicated
 
 # The official layout allows at most 990 items per document; larger orders become several.
 ITEMS_PER_DOCUMENT = 990
@@ -169,7 +169,7 @@ def nfe_documents(
             "l_orderkey", "o_orderdate", "o_custkey", "c_name", "c_nationkey", "s_suppkey", "s_name", "s_nationkey"
         )
     )
-    order = grouped.join(replicated(header, key, heavy, SALTS), ["l_orderkey", SALT])
+    order = grouped.join(replicated(header, key, heavy), ["l_orderkey", SALT])
 
     k, buyer, maker = F.col("l_orderkey"), F.col("o_custkey"), F.col("s_suppkey")
     broken = F.expr(_broken(broken_every))

@@ -14,12 +14,13 @@ from lastro.operators.keys import append_counts, first_per_key, new_records, wit
 from lastro.operators.registry import latest_state, with_key_columns
 from lastro.operators.reports import price_history, report_on, row_counts, tax_by_code, top_suppliers
 from lastro.operators.shape import align, coerce, declared_schema, union_ragged
-from lastro.plans.fiscal import CSV_OUT, FiscalData, export_by_type, load_documents
+from lastro.plans.fiscal import CSV_OUT, FiscalData, export_by_type, load_documents, stage
 from lastro.plans.load import append_tables, replace_tables
-from lastro.plans.order_documents import cte_documents, mixed_documents, nfe_documents
-from lastro.session import shared_folder, spread
+from checks.order_documents import cte_documents, mixed_documents, nfe_documents
+from lastro.session import shared_folder
 from lastro.sources.catalog import catalog_report
 from lastro.sources.delimited import preview, read_inputs, scan_delimited
+from lastro.sources.xml_folder import decoded_text
 from lastro.streaming.landing import append_delimited
 
 TABLES = (
@@ -40,7 +41,7 @@ def nfe_docs(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 
 def cte_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return cte_documents(spread(table(spark, folder, "orders")), table(spark, folder, "customer"))
+    return cte_documents(table(spark, folder, "orders"), table(spark, folder, "customer"))
 
 
 # --- fiscal documents ---------------------------------------------------------------------------
@@ -101,9 +102,8 @@ def doc_types(spark, folder):
 
 def mixed_split_counts(spark, folder):
     """Both document types in one input, flattened into the two tables."""
-    docs = nfe_docs(spark, folder).unionByName(cte_docs(spark, folder))
-    nfe, cte = flatten(docs, NFE, ["Chave_NFe"]), flatten(docs, CTE, ["Chave_CTE"])
-    return row_counts({"NFe": nfe, "CTe": cte})
+    data = stage(nfe_docs(spark, folder).unionByName(cte_docs(spark, folder)))
+    return row_counts({"NFe": data.nfe, "CTe": data.cte})
 
 
 def export_roundtrip(spark, folder):
@@ -190,7 +190,7 @@ def normalize_names(spark, folder):
 
 def _untyped(spark, folder) -> DataFrame:
     """All kinds of text columns for type inference."""
-    o = spread(table(spark, folder, "orders"))
+    o = table(spark, folder, "orders")
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     extra = {
         "paid": F.when(key % 2 == 0, "Sim").otherwise("Não"),
@@ -288,7 +288,7 @@ def composite_key(spark, folder):
 
 def _batch_and_stored(spark, folder) -> tuple[DataFrame, DataFrame]:
     items = _keyed_items(spark, folder)
-    return items.filter(F.col("l_orderkey") % 2 == 0), items.filter(F.col("l_orderkey") % 3 == 0)
+    return items.filter("l_orderkey % 2 = 0 OR l_orderkey % 3 <> 0"), items.filter(F.col("l_orderkey") % 3 == 0)
 
 
 def append_dedup(spark, folder):
@@ -359,7 +359,7 @@ def load_replace_append(spark, folder):
     text = as_text(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
     key = F.col("o_orderkey").cast("bigint")
     first = text.filter(key % 3 == 0)
-    again = text.filter(key % 2 == 0).select("o_orderpriority", "o_orderkey", F.lit("extra").alias("extra"))
+    again = text.filter((key % 2 == 0) | (key % 3 != 0)).select("o_orderpriority", "o_orderkey", F.lit("extra").alias("extra"))
     replace_tables(spark, {name: first}, {name: {"o_custkey": "INTEGER"}}, {name: ["o_orderkey"]})
     append_tables(spark, {name: again})
     return spark.table(name)
@@ -384,12 +384,89 @@ def incremental_append(spark, folder):
     key = F.col("p_partkey").cast("bigint")
     landing, checkpoint = shared_folder(spark, "landing"), shared_folder(spark, "landing-state")
     replace_tables(spark, {name: text.limit(0)}, {name: {"p_size": "INTEGER"}}, {name: ["p_partkey"]})
-    for batch in (text.filter(key % 2 == 0), text.filter(key % 3 == 0)):
+    for batch in (text.filter(key % 2 == 0), text.filter((key % 2 != 0) | (key % 3 == 0))):
         batch.write.mode("append").options(**CSV_OUT).csv(landing)
         append_delimited(spark, landing, name, text.columns, checkpoint).awaitTermination()
     return spark.table(name)
 
 
+def _append(spark, name: str, text: DataFrame, types: dict, key: str) -> DataFrame:
+    """Replace with a third of the rows and declared types, then append all rows without any."""
+    target = f"{_new_database(spark)}.{name}"
+    replace_tables(spark, {target: text.filter(F.col(key).cast("bigint") % 3 == 0)}, {target: types}, {target: [key]})
+    append_tables(spark, {target: text})
+    return spark.table(target)
+
+
+def append_typed_dates(spark, folder):
+    """Day-first dates: the table remembers the order."""
+    o = table(spark, folder, "orders")
+    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    text = o.select(F.col("o_orderkey").cast("string").alias("k"), day.alias("d"), F.concat(day, F.lit(" 10:30")).alias("at"))
+    return _append(spark, "dates", text, {"d": "DATE:dmy", "at": "DATETIME:dmy"}, "k")
+
+
+def append_booleans(spark, folder):
+    """Unknown words and blanks are NULL on append as on replace."""
+    words = F.element_at(F.array(*map(F.lit, ("Sim", "não", "talvez", ""))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("k"), words.alias("b"))
+    return _append(spark, "flags", text, {"b": "BOOLEAN"}, "k")
+
+
+def append_empty_batch(spark, folder):
+    target = f"{_new_database(spark)}.customer"
+    text = as_text(table(spark, folder, "customer").select("c_custkey", "c_name"))
+    replace_tables(spark, {target: text}, keys={target: ["c_custkey"]})
+    append_tables(spark, {target: text.limit(0)})
+    return spark.table(target)
+
+
+def load_named_sheets(spark, folder):
+    """Inputs named like sheets, replaced twice in one run each; the second state counts."""
+    text = {"Plan 1": as_text(table(spark, folder, "nation")), "Ação v1.2": as_text(table(spark, folder, "region"))}
+    before = spark.catalog.currentDatabase()
+    database = _new_database(spark)
+    spark.catalog.setCurrentDatabase(database)
+    try:
+        for frames in ({k: df.limit(2) for k, df in text.items()}, text):
+            done = replace_tables(spark, frames)
+        return union_ragged([spark.table(f"{database}.{r.table}").withColumn("sheet", F.lit(r.table)) for r in done])
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
+def coerce_date_dmy(spark, folder):
+    """The written day, whatever the offset behind it."""
+    text = F.concat(F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" 23:30:00-03:00"))
+    return table(spark, folder, "orders").select("o_orderkey", converted(text, "DATE:dmy").alias("d"))
+
+
+def coerce_time(spark, folder):
+    text = F.format_string("%02d:%02d", F.col("o_orderkey") % 30, F.col("o_orderkey") % 60)
+    return table(spark, folder, "orders").select("o_orderkey", converted(text, "TIME").alias("t"))
+
+
+def xml_folder_encodings(spark, folder):
+    """Each customer's document in one of the encodings that files come in."""
+    names = ("UTF-8", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE")
+    texts, which = [], F.col("c_custkey") % len(names)
+    for i, name in enumerate(names):
+        prolog = F.lit(f'<?xml version="1.0"{" " * 250}encoding="{name}"?>')
+        texts.append(F.when(which == i, F.encode(F.concat(prolog, F.lit("<a>Ação "), F.col("c_name"), F.lit("</a>")), name)))
+    docs = table(spark, folder, "customer").select("c_custkey", decoded_text(F.coalesce(*texts)).alias("text"))
+    return docs.select("c_custkey", F.regexp_extract("text", "<a>(.*)</a>", 1).alias("inside"))
+
+
+def load_documents_replayed(spark, folder):
+    """One batch loaded twice: its items and its rejects once."""
+    database, docs = _new_database(spark), nfe_docs(spark, folder, broken_every=BROKEN_EVERY)
+    for _ in range(2):
+        load_documents(spark, docs, database=database, append=True)
+    listed = spark.table(f"{database}._fiscal_rejects").groupBy("doc_type", "reason").agg(F.count(F.lit(1)).alias("n_documents"))
+    kept = spark.table(f"{database}.NFe").agg(F.lit("NFe").alias("doc_type"), F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n_documents"))
+    return listed.unionByName(kept)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -400,6 +477,8 @@ QUERIES = {
         coerce_real, coerce_numeric, coerce_boolean, coerce_date, coerce_datetime, coerce_by_type_map,
         stringify_cells, composite_key, append_dedup, append_dedup_counts, enforce_key, align_schema,
         union_ragged_tables, key_registry_lookup, catalog_report_tables, table_row_counts,
-        load_replace_append, load_documents_append, incremental_append,
+        load_replace_append, load_documents_append, incremental_append, append_typed_dates, append_booleans,
+        append_empty_batch, load_named_sheets, coerce_date_dmy, coerce_time, xml_folder_encodings,
+        load_documents_replayed,
     )
 }

@@ -71,14 +71,21 @@ def is_boolean_token(value: Column) -> Column:
 
 
 def to_timestamp(value: Column, date_format: str = "ymd") -> Column:
-    """Rewrite to ISO order, then cast: independent of the session's time parser policy."""
+    """Rewrite to ISO order, then cast: independent of the session's time parser policy.
+
+    A written offset fixes the instant; without one the text is taken in the session's time zone.
+    """
     pattern, iso = DATE_FORMATS[date_format]
     text = F.trim(value)
     return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, iso).try_cast("timestamp"))
 
 
 def to_date(value: Column, date_format: str = "ymd") -> Column:
-    return to_timestamp(value, date_format).cast("date")
+    """The written day, whatever offset follows it: no time zone takes part."""
+    pattern, iso = DATE_FORMATS[date_format]
+    text = F.trim(value)
+    day = F.regexp_replace(text, pattern, "1970-01-01" if date_format == "clock" else iso.removesuffix("$4"))
+    return F.when(to_timestamp(value, date_format).isNotNull(), day.try_cast("date"))
 
 
 def to_time(value: Column) -> Column:
@@ -115,11 +122,11 @@ def converted(value: Column, declared: str, keep_text: bool = False) -> Column:
 
 
 def converted_to(value: Column, spark_type: str) -> Column:
-    """``value`` as the type of an existing column, with the same rules as ``converted``."""
+    """``value`` as the type of an existing column without a stored declaration, by the rules of ``converted``."""
     rules = {"bigint": to_integer, "int": to_integer, "double": to_real, "date": to_date, "timestamp": to_timestamp}
     if spark_type in rules:
         out = rules[spark_type](value)
-        # A column this library wrote as BOOLEAN is an int, so its tokens must still be understood.
+        # Without a declaration an int column may hold booleans as well as numbers.
         return F.coalesce(to_boolean_number(value), out.try_cast("int")) if spark_type == "int" else out
     if spark_type == "boolean":
         return to_boolean_number(value).cast("boolean")

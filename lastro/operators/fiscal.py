@@ -6,7 +6,7 @@ document, 30 columns. Everything up to the record is a map over documents, witho
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from lastro.functions import codes
 from lastro.functions.text import date_part, filled, padded_number, without
 from lastro.operators.paths import RECORD, Field, at, field, first_field, schema_of, text_at, variant_field
-from lastro.operators.shape import union_ragged
+
+# Names of the wanted columns, for all types or by type; None stands for all.
+Columns = Sequence[str] | Mapping[str, Sequence[str]] | None
 
 NFE, CTE = "NFe", "CTe"
 MONEY, QUANTITY, UNIT_PRICE, RATE, WHOLE, DAY = (
@@ -202,6 +204,7 @@ _ROOT_MARKS = {NFE: "NFe|nfeProc", CTE: "CTe|cteProc"}
 ITEM_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
 
 MALFORMED, UNREADABLE, NO_DOCUMENT = "malformed", "unreadable encoding", "no document inside"
+NO_KEY = "no key"
 NO_IDE, NO_TAX_BLOCK, BAD_ITEM_NUMBER, NO_ITEMS = "no ide", "item without imposto", "bad item number", "no items"
 
 
@@ -251,6 +254,10 @@ def _chosen(doc_type: str, columns: Sequence[str] | None) -> list[Field]:
     return [f for f in fields if f.name in columns]
 
 
+def _wanted(doc_type: str, columns: Columns) -> Sequence[str] | None:
+    return columns[doc_type] if isinstance(columns, Mapping) else columns
+
+
 def _schemas(doc_type: str, columns: Sequence[str] | None) -> tuple[T.StructType, T.StructType]:
     """The schema inside the root and the schema of one document body."""
     body, schema = _BODY[doc_type], _body_schema(doc_type, _chosen(doc_type, columns))
@@ -273,12 +280,12 @@ def _ended(text: Column) -> Column:
     return text.endswith(">") | text.endswith(">\n") | text.endswith(">\r\n") | text.rlike(r">\s*\z")
 
 
-def parse(docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE), columns: Sequence[str] | None = None) -> DataFrame:
+def parse(docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE), columns: Columns = None) -> DataFrame:
     """Parse each document of the given types once: ``(path, doc_type, NFe and/or CTe)``.
 
     A type's column is an array of ``(reason, body)``, so that a batch root gives all of its
     documents; it is NULL for files of another type. ``reason`` is NULL for good documents. A file that
-    could not be decoded has the type ``unreadable encoding``. No filter
+    could not be decoded has the type ``unreadable encoding``. ``columns`` may be given by type. No filter
     removes the other files here: it would be pushed below the column that makes the text, and the
     text be decoded twice.
     """
@@ -289,7 +296,7 @@ def parse(docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE), columns: Seque
         "ignoreNamespace": "true",
         "ignoreSurroundingSpaces": "false",
     }
-    schemas = {t: _schemas(t, columns) for t in doc_types}
+    schemas = {t: _schemas(t, _wanted(t, columns)) for t in doc_types}
     named = document_type(text) if len(doc_types) > 1 else F.when(is_type(text, doc_types[0]), doc_types[0])
     named = F.when(text.isNull(), UNREADABLE).otherwise(named)
     # The parser stops at the end of the root; text behind it makes a document malformed.
@@ -370,24 +377,17 @@ def flatten(docs: DataFrame, doc_type: str, columns: Sequence[str] | None = None
 
 
 def rejected(parsed_docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE)) -> DataFrame:
-    """Documents that yield no records, each with the reason. Unrelated XML is not listed."""
-    found = [
-        documents(parsed_docs, t)
-        .filter(F.col("reason").isNotNull())
-        .select("path", F.lit(t).alias("doc_type"), "reason")
-        for t in doc_types
-    ]
-    return union_ragged(found)
-
-
-def unreadable(parsed_docs: DataFrame) -> DataFrame:
-    """Documents whose bytes do not fit their declared encoding."""
-    return parsed_docs.filter(F.col("doc_type") == UNREADABLE).select(
-        "path", F.lit(None).cast("string").alias("doc_type"), F.lit(UNREADABLE).alias("reason")
-    )
+    """Documents that yield no records, each with the reason, in one pass. Unrelated XML is not listed."""
+    kind = "array<struct<doc_type string, reason string>>"
+    named = lambda t: lambda d: F.struct(F.lit(t).alias("doc_type"), d["reason"].alias("reason"))
+    of_type = [F.transform(t, named(t)) for t in doc_types]
+    unreadable = F.when(F.col("doc_type") == UNREADABLE, F.array(F.struct(F.lit(None).alias("doc_type"), F.lit(UNREADABLE).alias("reason"))).cast(kind))
+    found = F.concat(*[F.coalesce(c, F.array().cast(kind)) for c in (*of_type, unreadable)])
+    # As in ``documents``: the filter must not reach below the parse.
+    one = parsed_docs.select("path", F.explode_outer(found).alias("r")).filter(F.col("r.reason").isNotNull())
+    return one.select("path", "r.doc_type", "r.reason")
 
 
 def rejects(docs: DataFrame) -> DataFrame:
-    """All documents that yield no records; parses only what the checks need."""
-    found = [rejected(parse(docs, [t], [DOCUMENT_KEY[t]]), [t]) for t in (NFE, CTE)]
-    return union_ragged([*found, unreadable(parse(docs, [CTE], []))])
+    """All documents that yield no records; parses once, and only what the checks need."""
+    return rejected(parse(docs, (NFE, CTE), {t: [DOCUMENT_KEY[t]] for t in (NFE, CTE)}))

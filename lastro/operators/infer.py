@@ -57,16 +57,19 @@ def _aggregates(source: DataFrame) -> DataFrame:
     return texts.select(*tests).agg(*facts)
 
 
-def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def infer_types(df: DataFrame, sample_rows: int | None = None, day_first: bool | None = None) -> DataFrame:
     """One row per column: ``column_name``, ``declared_type`` and, for dates, ``date_format``.
 
     All columns are judged in one pass with a map-side combine; each task emits a single row.
-    ``sample_rows`` limits the look to the first rows, as a preview does; the default is all.
+    Where every day is 12 or less, day and month cannot be told apart: ``day_first`` decides, and without it
+    the column stays TEXT. ``sample_rows`` limits the look to the first rows, as a preview does; the default is all.
     """
     source = df if sample_rows is None else df.limit(sample_rows)
     pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"f{i}").alias("f")) for i, c in enumerate(df.columns)]
     per_column = _aggregates(source).select(F.inline(F.array(*pairs)))
-    date_format = F.coalesce(*[F.when(F.col(f"f.{f}"), F.lit(f)) for f in DATE_FORMATS])
+    either = F.coalesce(F.col("f.mdy") & F.col("f.dmy"), F.lit(False))
+    chosen = F.lit(None).cast("string") if day_first is None else F.lit("dmy" if day_first else "mdy")
+    date_format = F.when(either, chosen).otherwise(F.coalesce(*[F.when(F.col(f"f.{f}"), F.lit(f)) for f in DATE_FORMATS]))
     number = F.col("f.numbers") & ~F.col("f.identifiers")
     declared = (
         F.when(F.col("f.filled") == 0, "TEXT")
@@ -81,10 +84,10 @@ def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     return typed.select("column_name", "declared_type", F.when(is_date, F.col("fmt")).alias("date_format"))
 
 
-def type_map(df: DataFrame, sample_rows: int | None = None) -> dict[str, str]:
+def type_map(df: DataFrame, sample_rows: int | None = None, day_first: bool | None = None) -> dict[str, str]:
     """The proposal as a map for ``coerce``: one small row per column reaches the driver."""
     out = {}
-    for row in infer_types(df, sample_rows).collect():
+    for row in infer_types(df, sample_rows, day_first).collect():
         ordered = row.date_format in (None, "ymd")
         out[row.column_name] = row.declared_type if ordered else f"{row.declared_type}:{row.date_format}"
     return out

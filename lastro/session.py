@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "lastro", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -40,29 +41,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = os.path.join(tempfile.gettempdir(), "lastro")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a small, hardly split scan one partition per core before CPU-heavy row work.
-
-    Only for a plain scan: counting the partitions of a plan with exchanges would run it. A scan
-    that already has as many partitions as cores, as every large one has, is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
-def gather(scan: DataFrame, factor: int = 16, tasks_per_core: int = 4) -> DataFrame:
-    """Let a task take ``factor`` times as many small files, as long as all cores stay busy.
-
-    Spark packs some thirty small files into a task by their opening cost. Wide parse schemas cost each
-    task a fixed time that so few documents do not repay. No shuffle; only for a plain scan.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    now = scan.rdd.getNumPartitions()
-    wanted = max(cores * tasks_per_core, now // factor)
-    return scan.coalesce(wanted) if now > wanted else scan
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library made, on whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

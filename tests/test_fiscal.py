@@ -278,7 +278,7 @@ def test_batch_root_with_one_bad_document_keeps_the_other(spark):
     assert rows(documents(parsed, NFE).select("body._Id", "reason")) == [("NFe5", None), ("NFe6", "no ide")]
 
 
-def test_small_files_share_tasks(spark, tmp_path):
+def test_files_are_packed_by_spark(spark, tmp_path):
     for i in range(64):
         (tmp_path / f"{i}.xml").write_text(nfe(str(i)))
     files = spark.read.format("binaryFile").load(str(tmp_path))
@@ -286,7 +286,34 @@ def test_small_files_share_tasks(spark, tmp_path):
     try:
         assert files.rdd.getNumPartitions() == 64
         docs = read_xml_folder(spark, str(tmp_path))
-        assert docs.rdd.getNumPartitions() == 32
+        assert docs.rdd.getNumPartitions() == 64
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert flatten(docs, NFE).select("Chave_NFe").distinct().count() == 64
+
+
+def test_encodings(spark, tmp_path):
+    body = "<a>Ação</a>"
+    long = '<?xml version="1.0" ' + " " * 300 + 'encoding="ISO-8859-1"?>'
+    files = {
+        "long": (long + body).encode("latin-1"), "bom_le": body.encode("utf-16"), "bom_be": b"\xfe\xff" + body.encode("utf-16-be"),
+        "plain_le": body.encode("utf-16-le"), "plain_be": body.encode("utf-16-be"), "odd": body.encode("utf-16") + b"x",
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.xml").write_bytes(data)
+    got = {r.path.split("/")[-1][:-4]: r.text for r in read_xml_folder(spark, str(tmp_path)).collect()}
+    assert got.pop("odd") is None and got.pop("long").endswith(body)
+    assert {t.removeprefix("\ufeff") for t in got.values()} == {body}
+
+
+def test_documents_without_id_and_replays(fresh, tmp_path):
+    spark = fresh
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        (tmp_path / "in" / f"{i}.xml").write_text(proc(nfe("") if i else nfe("7")).replace('Id="NFe"', ""))
+    (tmp_path / "in" / "bad.xml").write_text("<nfeProc><NFe>")
+    first = load_folder(spark, str(tmp_path / "in"))
+    again = load_folder(spark, str(tmp_path / "in"), append=True)
+    assert [(r.incoming, r.written) for r in (*first, *again)] == [(2, 2), (2, 1)]
+    assert rows(spark.table("NFe").select(KEY)) == [("7",), (None,), (None,)]
+    assert spark.table(REJECTS).count() == 1

@@ -45,7 +45,7 @@ def skewed(spark, n=30_000):
 
 def test_heavy_keys_are_found(spark):
     df = skewed(spark)
-    found = df.select("k", F.array_contains(heavy_keys(df, ["k"], 1000), F.xxhash64("k")).alias("heavy"))
+    found = df.select("k", F.map_contains_key(heavy_keys(df, ["k"], 1000), F.xxhash64("k")).alias("heavy"))
     assert {r.k for r in found.filter("heavy").select("k").distinct().collect()} == {"hot"}
     none = df.select(F.size(heavy_keys(df, ["k"])).alias("n")).first().n
     assert none == 0
@@ -119,3 +119,15 @@ def test_first_per_key_combines_before_the_shuffle(spark):
     plan = first_per_key(skewed(spark), ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_min") > plan.index("Exchange hashpartitioning")
     assert "Window" not in plan
+
+
+def test_salts_follow_the_share_of_the_key(spark):
+    for n in (30_000, 120_000):
+        salts = spark.range(1).select(heavy_keys(skewed(spark, n), ["k"], 1000).alias("h")).first().h
+        assert len(salts) == 1 and abs(next(iter(salts.values())) - 16 * n / 3 / 1000) < 0.05 * n
+
+
+def test_no_rows_have_no_heavy_keys(spark):
+    empty = spark.createDataFrame([], "k string, v long")
+    assert spark.range(1).select(heavy_keys(empty, ["k"]).alias("h")).first().h == {}
+    assert new_records(empty, skewed(spark), ["k"]).isEmpty()

@@ -173,3 +173,48 @@ def test_each_database_has_its_own_registry(fresh, tmp_path):
     finally:
         for name in ("one", "two"):
             spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_append_remembers_how_cells_are_read(fresh):
+    spark = fresh
+    df = lambda *data: spark.createDataFrame(list(data), ["k", "d", "b", "t"])
+    replace_tables(spark, {"t": df(("1", "31/12/2024", "Sim", "10:30"))}, {"t": {"d": "DATE:dmy", "b": "BOOLEAN", "t": "TIME"}}, {"t": ["k"]})
+    done = append_tables(spark, {"t": df(("2", "01/02/2024", "talvez", "99:99"), ("3", "x", "", ""))})[0]
+    got = [(r.k, str(r.d), r.b, r.t) for r in spark.table("t").orderBy("k").collect()]
+    assert got == [("1", "2024-12-31", 1, "10:30"), ("2", "2024-02-01", None, None), ("3", "None", None, None)]
+    assert (done.written, done.unread) == (2, 3)
+    assert append_tables(spark, {"t": df().limit(0) if False else spark.createDataFrame([], "k string, d string, b string, t string")})[0].written == 0
+
+
+def test_a_mistake_in_one_input_leaves_all_tables_alone(fresh):
+    spark = fresh
+    df = spark.createDataFrame([("1", "x")], ["k", "v"])
+    with pytest.raises(ValueError, match="unknown types"):
+        replace_tables(spark, {"a": df, "b": df}, {"b": {"k": "NUMBER"}})
+    with pytest.raises(ValueError, match="no such columns"):
+        replace_tables(spark, {"a": df, "b": df}, {"b": {"K_": "REAL"}})
+    assert not spark.catalog.tableExists("a")
+    replace_tables(spark, {"a": df, "b": df}, keys={"a": ["k"], "b": ["k"]})
+    with pytest.raises(ValueError, match="no such key column"):
+        append_tables(spark, {"a": spark.createDataFrame([("2", "y")], ["k", "v"]), "b": df.drop("k")})
+    assert spark.table("a").count() == 1
+
+
+def test_a_failed_replace_keeps_the_old_table(fresh):
+    spark = fresh
+    replace_tables(spark, {"t": spark.createDataFrame([("1",)], ["k"])})
+    broken = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("broken"))).otherwise(F.lit("2")).cast("string").alias("k"))
+    with pytest.raises(Exception, match="broken"):
+        replace_tables(spark, {"t": broken})
+    assert rows(spark.table("t")) == [("1",)]
+    assert [t.name for t in spark.catalog.listTables() if "_new_" in t.name or "_old_" in t.name] == []
+
+
+def test_inputs_named_like_sheets(fresh):
+    spark = fresh
+    df = spark.createDataFrame([("1",)], ["k"])
+    done = replace_tables(spark, {"Plan 1": df, "Ação v1.2": df}, keys={"Plan 1": ["k"]})
+    assert [r.table for r in done] == ["Plan_1", "Acao_v12"]
+    assert append_tables(spark, {"Plan 1": df})[0].written == 0
+    with pytest.raises(ValueError, match="share a table"):
+        replace_tables(spark, {"Plan 1": df, "Plan_1": df})

@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from lastro.operators.fiscal import NFE, documents, flatten, parse
-from lastro.plans.order_documents import nfe_documents
+from checks.order_documents import nfe_documents
 
 SMALL = "/root/testdata/sf0.001"
 
