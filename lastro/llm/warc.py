@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = EPOCH) -> DataFram
                     if out is not None:
                         out.close()
                     name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = where.open_output_stream(f"{root}/{name}")
+                    out = where.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(data)
                 index.append((name, offset, len(data), url, page_id, digest, kind))
                 offset += len(data)
