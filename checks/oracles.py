@@ -432,6 +432,10 @@ ORACLES |= {
     "CAST(o_orderkey AS VARCHAR) AS _PK FROM orders",
     "append_empty_batch": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_custkey AS VARCHAR) AS _PK FROM customer",
     "load_named_sheets": "SELECT COLUMNS(*)::VARCHAR, 'Plan_1' AS sheet FROM nation UNION ALL BY NAME SELECT COLUMNS(*)::VARCHAR, 'Acao_v12' AS sheet FROM region",
+    "freight_invoice_links": f"WITH t AS (SELECT l_orderkey, sum({PRICE}) AS total_goods FROM lineitem JOIN orders ON o_orderkey = l_orderkey "
+    f"GROUP BY l_orderkey) SELECT lpad(CAST(o_orderkey AS VARCHAR), 44, '0') AS Chave_CTE, CASE WHEN o_orderkey % 3 <> 0 THEN "
+    f"lpad(CAST(o_orderkey AS VARCHAR), 44, '0') END AS NF_ref, {TOTAL} AS freight, CASE WHEN o_orderkey % 3 <> 0 THEN total_goods END AS total_goods "
+    "FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN t ON l_orderkey = o_orderkey",
     "coerce_date_dmy": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders",
     "coerce_time": "SELECT o_orderkey, CASE WHEN o_orderkey % 30 < 24 THEN lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || ':' || "
     "lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') END AS t FROM orders",

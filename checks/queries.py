@@ -12,7 +12,7 @@ from lastro.operators.fiscal import CTE, NFE, flatten, rejects, root_name, type_
 from lastro.operators.infer import infer_types
 from lastro.operators.keys import append_counts, first_per_key, new_records, with_key
 from lastro.operators.registry import latest_state, with_key_columns
-from lastro.operators.reports import price_history, report_on, row_counts, tax_by_code, top_suppliers
+from lastro.operators.reports import freight_links, price_history, report_on, row_counts, tax_by_code, top_suppliers
 from lastro.operators.shape import align, coerce, declared_schema, union_ragged
 from lastro.plans.fiscal import CSV_OUT, FiscalData, export_by_type, load_documents, stage
 from lastro.plans.load import append_tables, replace_tables
@@ -67,6 +67,11 @@ def nfe_price_history(spark, folder):
     return report_on(nfe_docs(spark, folder), price_history, PRODUCT_CODE)
 
 
+def freight_invoice_links(spark, folder):
+    freight = flatten(cte_docs(spark, folder), CTE, ["Chave_CTE", "NF_ref", "VLR_Servico"])
+    return freight_links(freight, flatten(nfe_docs(spark, folder), NFE, ["Chave_NFe", "Vlr_Produto"]))
+
+
 def nfe_decode_labels(spark, folder):
     labels = ["Tipo_de_NF", "Local_Operacao", "Regime_Tributario", "Modalidade_Frete"]
     items = flatten(nfe_docs(spark, folder), NFE, labels)
@@ -479,6 +484,6 @@ QUERIES = {
         union_ragged_tables, key_registry_lookup, catalog_report_tables, table_row_counts,
         load_replace_append, load_documents_append, incremental_append, append_typed_dates, append_booleans,
         append_empty_batch, load_named_sheets, coerce_date_dmy, coerce_time, xml_folder_encodings,
-        load_documents_replayed,
+        load_documents_replayed, freight_invoice_links,
     )
 }
