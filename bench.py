@@ -43,6 +43,8 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.sql.warehouse.dir": f"{scratch}/warehouse",
             "spark.checkpoint.dir": f"{scratch}/shared",
+            # The XML folder has many files of a few KB: let a task take more of them.
+            "spark.sql.files.openCostInBytes": "65536",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
