@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from lastro.session import shared_folder
 
 BLOCK_WORDS = 1_000_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 20_000
+# A block's number has the task's above 16 bits; a document's place in all blocks has the block's above 17.
+TASK_BITS, PLACE_BITS, BLOCK_ROWS = 16, 17, 1 << 16
 BLOCK_SCHEMA = "block long, doc_ids array<bigint>, flags array<int>, offsets binary, codes binary, words binary"
 NEWLINE = b"\n"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -48,13 +50,13 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that one slice holds about ``limit`` bytes of ``column``, or a single longer value."""
+    """Cut record batches so that one slice holds about ``limit`` bytes of ``column``, or a single longer value, and at most ``SLICE_ROWS`` rows."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, start = np.cumsum(sizes), 0
         while start < len(sizes):
             base = ends[start] - sizes[start]
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))), start + SLICE_ROWS)
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -133,7 +135,7 @@ def blocks(docs: DataFrame, lower: bool = False, block_words: int = BLOCK_WORDS)
     """``docs(doc_id, flag, text)`` as stored blocks; every row of ``docs`` lies in exactly one."""
 
     def build(batches):
-        n, base = 0, TaskContext.get().partitionId() << 24
+        n, base = 0, TaskContext.get().partitionId() << TASK_BITS
         held, words = [], 0
 
         def row():
@@ -155,7 +157,7 @@ def blocks(docs: DataFrame, lower: bool = False, block_words: int = BLOCK_WORDS)
         for part in slices(batches, "text", block_words * 6):
             held.append(part)
             words += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
-            if words >= block_words * 6:
+            if words >= block_words * 6 or sum(b.num_rows for b in held) >= BLOCK_ROWS:
                 yield row()
         if held:
             yield row()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import blocks, gram_hashes, hash_words, opened, stored, table, with_totals
+from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, opened, stored, table, with_totals
 
 SHINGLE, PERCENT = 5, 85
 HASHES, BANDS, ROWS, HUB_ROUNDS = 80, 32, 5, 3
@@ -89,7 +89,7 @@ def signatures(batches):
                     bands[i] = keys
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(row["block"] << 24) + i for i in range(len(sets))], pa.int64()), pa.array(row["doc_ids"], pa.int64()),
+                    pa.array([(row["block"] << PLACE_BITS) + i for i in range(len(sets))], pa.int64()), pa.array(row["doc_ids"], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
                 ],
                 names=["place", "doc_id", "n_shingles", "class", "bands"],
@@ -167,7 +167,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def full_sets(held: DataFrame, wanted: DataFrame) -> DataFrame:
     """The full shingle sets of the classes ``wanted(class, node, place)``, made again from their blocks."""
-    rows = wanted.select(F.shiftright("place", 24).alias("block"), F.lit(0).alias("shard"), F.concat(F.col("class"), F.unhex(F.lpad(F.hex("node"), 16, "0")), F.unhex(F.lpad(F.hex(F.col("place").bitwiseAND(F.lit((1 << 24) - 1))), 8, "0"))).alias("total"))
+    rows = wanted.select(F.shiftright("place", PLACE_BITS).alias("block"), F.lit(0).alias("shard"), F.concat(F.col("class"), F.unhex(F.lpad(F.hex("node"), 16, "0")), F.unhex(F.lpad(F.hex(F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))), 8, "0"))).alias("total"))
 
     def make(row, rows):
         if not rows:

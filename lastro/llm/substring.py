@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import among, blocks, found, gram_hashes, hash_words, inside, opened, shards_for, slices, split_words, stored, strings, table, totals, with_totals
+from lastro.llm.common import among, blocks, found, gram_hashes, hash_words, inside, opened, shards_for, slices, split_words, strings, table, totals, with_totals
 
 WORDS, GRAM = 35, 12
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
