@@ -26,7 +26,10 @@ def with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without their failing lines."""
     name = fresh(docs, "rules")
-    return with_text(judged(docs, into=name).where(F.col(name)["kept"]), docs.columns, F.col(name)["cleaned"])
+    # A plain filter would be pushed below the rules, and judge every text a second time.
+    kept = F.explode_outer(F.filter(F.array(F.col(name)), lambda r: r["kept"]))
+    one = judged(docs, into=name).select(*[f"`{c}`" for c in docs.columns], kept.alias(name)).where(F.col(name).isNotNull())
+    return with_text(one, docs.columns, F.col(name)["cleaned"])
 
 
 def dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
