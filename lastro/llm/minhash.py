@@ -2,8 +2,8 @@
 
 Under each of ``HASHES`` permutations a document keeps the least and the greatest of its shingles' hashes, so one
 evaluation gives two values whose agreement has the chance of the Jaccard similarity. ``BANDS`` bands of ``ROWS`` values
-propose candidates; links are confirmed on the full shingle sets. With 32 bands of 5 a pair at 0.85 is missed with
-a chance of 8e-9.
+propose candidates; links are confirmed on the full shingle sets, at ``percent``. With 32 bands of 5 a pair at 0.85 is
+missed with a chance of 8e-9, one at 0.8 with 3e-6.
 
 Equal sets are one class, so copies cost one row each. No bucket lists its pairs:
 
@@ -116,17 +116,17 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets are similar enough, with the nodes of both."""
     left = sets.select(F.col("class").alias("a"), F.col("node").alias("u"), F.col("shingles").alias("s"))
     right = sets.select(F.col("class").alias("b"), F.col("node").alias("v"), F.col("shingles").alias("t"))
     n = F.size(F.array_intersect("s", "t"))
-    near = F.lit(100) * n >= F.lit(PERCENT) * (F.size("s") + F.size("t") - n)
+    near = F.lit(100) * n >= F.lit(percent) * (F.size("s") + F.size("t") - n)
     return pairs.join(left, "a").join(right, "b").where(near).select("u", "v")
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with ``n_shingles``, ``component_id`` and ``kept``."""
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs(doc_id, text)`` with ``n_shingles``, ``component_id`` and ``kept``; documents link from ``percent`` on."""
     held = blocks(docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("flag"), "text"), lower=True)
     signed = stored(held.mapInArrow(signatures, "place long, doc_id long, n_shingles long, class binary, bands array<bigint>"), "signatures")
     node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("class"), F.lit(NO_ID)))
@@ -150,8 +150,8 @@ def linked(docs: DataFrame) -> DataFrame:
         if i < HUB_ROUNDS:
             pairs = open_members.join(spread, "band").where("root <> hub_root").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b"))
         else:
-            pairs = rest(open_members.join(spread.select("band"), "band", "left_semi"), sets)
-        found = stored(confirmed(stored(pairs.distinct(), "pairs"), sets), "links")
+            pairs = rest(open_members.join(spread.select("band"), "band", "left_semi"), sets, percent)
+        found = stored(confirmed(stored(pairs.distinct(), "pairs"), sets, percent), "links")
         links = found if links is None else links.union(found)
         roots = components(links)
         open_members = open_members.drop("root").join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("class", "band", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -182,13 +182,13 @@ def full_sets(held: DataFrame, wanted: DataFrame) -> DataFrame:
     return with_totals(held, rows, make, "class binary, node long, shingles array<bigint>")
 
 
-def rest(members: DataFrame, sets: DataFrame) -> DataFrame:
+def rest(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components that share a bucket and are not excluded by counts.
 
     Classes that buckets connect are a group, and H is the set of shingles that half of the group has. A class A differs
     from H in D(A), of which the shingles that no other class of the group has can be in no other D. Two classes differ in
     d = |D(A)| + |D(B)| - 2 |D(A) and D(B)|, where the last is at most the lesser number of shared elements, and they
-    link only if PERCENT allows d. So a bucket's greatest and least counts exclude most classes one by one, and the
+    link only if ``percent`` allows d. So a bucket's greatest and least counts exclude most classes one by one, and the
     same test excludes most pairs of the others.
     """
     star = members.groupBy("band").agg(F.min("node").alias("v"))
@@ -207,7 +207,7 @@ def rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     parts = parts.join(common, "group_", "left").select("class", delta.alias("d"), (delta - F.col("alone")).alias("shared"))
     counted = stored(members.join(parts, "class"), "open-members")
 
-    allowed, whole = 100 - PERCENT, 100 + PERCENT
+    allowed, whole = 100 - percent, 100 + percent
     of_band = counted.groupBy("band").agg(F.max("n").alias("n_max"), F.min("d").alias("d_min"), F.max("shared").alias("shared_max"), F.max(2 * F.col("shared") - F.col("d")).alias("gain_max"))
     room = F.lit(allowed) * (F.col("n") + F.col("n_max"))
     may = counted.join(stored(of_band, "band-counts"), "band").where(

@@ -30,7 +30,7 @@ def repeats_digest(rows, n):
     return [(d, k, g, hashlib.sha256(" ".join(w).encode()).hexdigest()) for d, k, g, w in repeats(rows, n)]
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, percent=85):
     """``(doc_id, n_shingles, component_id, kept)`` by comparing all pairs that share a shingle."""
     sets = []
     for d, t in rows:
@@ -47,7 +47,7 @@ def near_duplicates(rows):
     for i, (d, s) in enumerate(sets):
         shared = Counter(j for x in s for j in holders[x])
         for j, n in shared.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j][1]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j][1]) - n):
                 parent[find(i)] = find(j)
         for x in s:
             holders[x].append(i)

@@ -144,6 +144,16 @@ def test_near_duplicates_of_the_table(spark):
     assert key(got.collect()) == key(near_duplicates(whole(spark)))
 
 
+def test_near_duplicates_at_another_percent(docs):
+    base = [f"w{i}" for i in range(204)]
+    edited = lambda at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    # 200 shingles, of which an edit changes 5: 180 of 220 in common, then 175 of 225
+    rows = [(1, " ".join(base)), (2, edited({20, 60, 100, 140})), (3, edited({10, 30, 50, 70, 90}))]
+    got = linked(docs(rows), percent=80)
+    assert key(got.collect()) == key(near_duplicates(rows, 80))
+    assert {r.doc_id for r in got.where("kept").collect()} == {1, 3}
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(200, 201), (201, 200), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
