@@ -33,9 +33,13 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without an id stay."""
-    kept = linked(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*[f"`{c}`" for c in docs.columns])
+    """Of each group of near duplicates the row with the smallest id, the first of those that share it."""
+    name = fresh(docs, "row")
+    rowed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "rowed")
+    groups = linked(rowed.select(F.col(name).alias("doc_id"), "text")).select(F.col("doc_id").alias(name), "component_id")
+    ids = rowed.select(name, F.col("doc_id").isNull().alias("without"), "doc_id").join(groups, name)
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("without", "doc_id", name)).alias("first")).select(F.col("first")[name].alias(name))
+    return rowed.join(kept, name, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def remove_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import corpus_pipeline
 from lastro.llm.common import stored, table
 from lastro.llm.mixing import BLOCK, SHARDS, mixed
 from lastro.llm.quality import judged
+from lastro.llm.stages import dedup
 from lastro.llm.topk import searched
 from lastro.llm.toxicity import fitted, op2_toxicity, subwords, toxicity
 from lastro.llm.warc import read_records, revisits, write_archives
@@ -202,3 +203,13 @@ def test_pipeline_with_odd_rows(spark):
             out = stored(stage(spark, out, ""), "odd")
             assert out.columns == docs.columns, name
         assert (out.count() >= n) and corpus_pipeline.STAGES[4][1](spark, out, "").count() >= n
+
+
+def test_dedup_tells_rows_apart(spark):
+    """One row of each group of near duplicates, whatever ids its rows have."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, a + " end"), (None, c), (None, c), (None, c + " end"), (None, None), (None, None), (9, ""), (5, b + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, dedup(spark, docs, "").collect()), key=repr)
+    assert [d for d, _ in got] == [3, 5, 9, None, None, None]
+    assert (3, a) in got and [t for d, t in got if d == 5 and t.startswith(b)] and [t for d, t in got if d is None and (t or "").startswith(c)]
