@@ -2,8 +2,8 @@
 
 A word's subwords are the word itself and the runs of 4 to 6 characters of the word in angle brackets, each hashed to one
 of ``BUCKETS`` vectors. A text is the mean of the vectors of all its subwords. Vectors and softmax are trained jointly in
-numpy on a bounded sample of labelled rows: at most ``MOST`` of each class, those of the least hash of their id, weighted
-back to the classes' true shares. Subwords of few sampled rows have no vector, which counts as zero; an unseen spelling is scored by the runs it shares with known ones.
+numpy on a bounded sample of labelled documents: at most ``MOST`` of each class, those of the least hash of their id, one
+row each, weighted back to the classes' true shares. Subwords of few sampled rows have no vector, which counts as zero; an unseen spelling is scored by the runs it shares with known ones.
 
 As the model is linear after the mean, each subword reduces to one number, and a word to its subwords' sum; the table of
 numbers has a fixed size and is what the tasks get. Whole texts are scored; a null or empty text gets the score of the
@@ -94,8 +94,9 @@ def fitted(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) ->
     if len(n) < 2:
         return np.zeros(BUCKETS, np.float32), 20.0 if 1 in n else -20.0
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[c]) for c in (0, 1)]
-    # at most ``sum(most)`` ids
-    sample = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("toxic", "text")
+    # at most ``sum(most)`` ids, and of each the row whose text has the least hash
+    sample = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")
     rows = []
     for r in sample.mapInArrow(features, "toxic int, ids binary, counts binary").toLocalIterator():
         ids, counts = unpack(r["ids"], np.uint32).astype(np.int32), unpack(r["counts"], np.uint32).astype(np.float32)

@@ -52,6 +52,13 @@ def test_unseen_spellings_share_runs(spark, docs):
     assert len(subwords("moron")) == 1 + 4 + 3 + 2 and subwords("moron") == subwords("moron.")
 
 
+def test_a_repeated_id_teaches_once(spark, docs):
+    train = [(i, f"some words number{i} " * 4 + ("you moron" if i % 3 == 0 else "you friend")) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    once, often = fitted(docs(train), labels), fitted(docs(train + [train[1]] * 500), labels)
+    assert (once[0] == often[0]).all() and once[1] == often[1]
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "u\r\nx", "a"), (2, None, "a"), (2, "v", "a"), (3, "w", None), (4, "w", ""), (None, "n", "a"), (None, "n", "zé"), (7, "é", "zé\r\n\r\n")]
     rows += [(100 + i, f"http://x/{i}", f"<p>{i % 40}" * 3000) for i in range(200)]
