@@ -1,9 +1,9 @@
 """Toxicity scores: subword vectors averaged over a text, then a linear softmax.
 
-A word's subwords are the word itself and the runs of 4 to 6 characters of the word in angle brackets, each hashed to one
-of ``BUCKETS`` vectors. A text is the mean of the vectors of all its subwords. Vectors and softmax are trained jointly in
+A word's subwords are the word itself and the runs of 4 to 6 characters of the word in angle brackets, for words of up to
+``SHORT`` letters from 3 on, so that a changed letter leaves a run; each is hashed to one of ``BUCKETS`` vectors. A text is the mean of the vectors of all its subwords. Vectors and softmax are trained jointly in
 numpy on a bounded sample of labelled documents: at most ``MOST`` of each class, those of the least hash of their id, one
-row each, weighted back to the classes' true shares. Subwords of few sampled rows have no vector, which counts as zero; an unseen spelling is scored by the runs it shares with known ones.
+row each, weighted back to the classes' true shares. Subwords of fewer than ``LEAST_ROWS`` sampled rows have no vector, which counts as zero; an unseen spelling is scored by the runs it shares with known ones.
 
 As the model is linear after the mean, each subword reduces to one number, and a word to its subwords' sum; the table of
 numbers has a fixed size and is what the tasks get. Whole texts are scored; a null or empty text gets the score of the
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from lastro.llm.common import pack, slices, strings, table, unpack, word_codes
 
 BUCKETS, WIDTH, LEAST_RUN, MOST_RUN = 1 << 17, 4, 4, 6
-#: Labelled rows to learn from, clean and toxic, and the share of them in which a subword must occur to have a vector.
-MOST, LEAST_SHARE = (6000, 2000), 0.003
+SHORT, SHORT_RUN = 4, 3
+#: Labelled rows to learn from, clean and toxic, and the number of them in which a subword must occur to have a vector.
+MOST, LEAST_ROWS = (6000, 2000), 3
 EPOCHS, BATCH, RATE, SCALE, DECAY = 20, 128, 0.03, 200.0, 1e-5
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MEMO = 500_000
@@ -35,7 +36,8 @@ def subwords(word: str) -> list[int]:
     """Buckets of a word's subwords."""
     w = word.strip(MARKS) or word
     whole = f"<{w}>"
-    grams = [whole, *(whole[i : i + n] for n in range(LEAST_RUN, MOST_RUN + 1) for i in range(len(whole) - n + 1) if n < len(whole))]
+    least = LEAST_RUN if len(w) > SHORT else SHORT_RUN
+    grams = [whole, *(whole[i : i + n] for n in range(least, MOST_RUN + 1) for i in range(len(whole) - n + 1) if n < len(whole))]
     return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in grams]
 
 
@@ -105,7 +107,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) ->
     seen = np.zeros(BUCKETS, np.int64)
     for _, ids, _ in rows:
         seen[ids] += 1
-    common = seen >= LEAST_SHARE * len(rows)
+    common = seen >= LEAST_ROWS
     rows = [(c, ids[common[ids]], part[common[ids]]) for c, ids, part in rows]
     taken = [sum(r[0] == c for r in rows) for c in (0, 1)]
     numbers, bias = train(rows, (n[0] / max(taken[0], 1), n[1] / max(taken[1], 1)))

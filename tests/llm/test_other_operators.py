@@ -52,6 +52,17 @@ def test_unseen_spellings_share_runs(spark, docs):
     assert len(subwords("moron")) == 1 + 4 + 3 + 2 and subwords("moron") == subwords("moron.")
 
 
+def test_rare_and_changed_words_count(spark, docs):
+    """A toxic word in 4 of 1600 rows, and a short one with a changed inner letter."""
+    sign = lambda i: "zorkblat" if i < 4 else "dork"
+    train = [(i, "plain words of any text " * 3 + (sign(i) if i < 600 else "kind")) for i in range(1600)]
+    model = fitted(docs(train), spark.createDataFrame([(i, int(i < 600)) for i in range(1600)], "doc_id long, toxic int"))
+    # each beside an unseen word of its length, which has as many subwords
+    asked = ["zorkblat", "qvqvwxwx", "d0rk", "q9wx"]
+    rare, as_rare, changed, as_changed = (r.score for r in toxicity(docs([(i, f"plain words of any text {w}") for i, w in enumerate(asked)]), model).orderBy("doc_id").collect())
+    assert rare > as_rare and changed > as_changed, (rare, as_rare, changed, as_changed)
+
+
 def test_a_repeated_id_teaches_once(spark, docs):
     train = [(i, f"some words number{i} " * 4 + ("you moron" if i % 3 == 0 else "you friend")) for i in range(90)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
