@@ -32,7 +32,3 @@ def fresh(spark):
     for t in spark.catalog.listTables():
         if not t.isTemporary:
             spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from row_bags import rows
 
 from lastro.operators.fiscal import (
     CTE,

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from conftest import rows
+from row_bags import rows
 from pyspark.sql import functions as F
 
 from lastro.operators.keys import append_counts, first_per_key, new_records, with_key

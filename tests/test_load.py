@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from row_bags import rows
 from pyspark.sql import functions as F
 
 from lastro.operators.registry import current_registry, key_columns, latest_state, register_key, with_key_columns

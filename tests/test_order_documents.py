@@ -2,7 +2,7 @@ from collections import Counter
 
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
-from conftest import rows
+from row_bags import rows
 from pyspark.sql import functions as F
 
 from lastro.operators.fiscal import NFE, documents, flatten, parse

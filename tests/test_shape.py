@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from row_bags import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T

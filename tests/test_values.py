@@ -2,7 +2,7 @@ import datetime
 import decimal
 
 import pytest
-from conftest import rows
+from row_bags import rows
 from pyspark.sql import functions as F
 
 from lastro.functions.text import date_part, padded_number
