@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from tokenizers import Tokenizer
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -84,3 +86,19 @@ def packed(texts, tokenizer, end, window):
             start += len(part)
         at += len(ids)
     return out
+
+
+def check_pieces(pieces, rows, path, window=4096):
+    """Every id in exactly one piece, windows full and gapless but for the last one."""
+    t = Tokenizer.from_file(path)
+    ordered = sorted(pieces, key=lambda r: (r.sequence_id, r.offset))
+    at, order = 0, []
+    for r in ordered:
+        assert r.sequence_id * window + r.offset == at
+        at += r.length
+        if r.start == 0:
+            order.append(r.doc_id)
+    texts = {d: x for d, x in rows}
+    want = packed([(d, texts[d]) for d in order], t, 2, window)
+    assert [tuple(r)[:7] for r in ordered] == want
+    assert sorted(order, key=repr) == sorted((d for d, _ in rows), key=repr)

@@ -6,9 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 import public_tokenizers
-from brute import near_duplicates, repeats, words
+from plain_versions import check_pieces, near_duplicates, repeats, words
 from pyspark.sql import functions as F
-from test_text_operators import check_pieces
 
 import corpus_pipeline
 from lastro.llm.common import stored, table

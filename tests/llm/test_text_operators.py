@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 import public_tokenizers
-from brute import base_scores, near_duplicates, packed, repeats_digest
+from plain_versions import base_scores, check_pieces, near_duplicates, repeats_digest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -186,22 +186,6 @@ def test_counts_of_the_table(spark):
     assert key(op10_token_counts(spark, FOLDER).collect()) == key(want)
 
 
-def check_pieces(pieces, rows, path, window=4096):
-    """Every id in exactly one piece, windows full and gapless but for the last one."""
-    t = Tokenizer.from_file(path)
-    ordered = sorted(pieces, key=lambda r: (r.sequence_id, r.offset))
-    at, order = 0, []
-    for r in ordered:
-        assert r.sequence_id * window + r.offset == at
-        at += r.length
-        if r.start == 0:
-            order.append(r.doc_id)
-    texts = {d: x for d, x in rows}
-    want = packed([(d, texts[d]) for d in order], t, 2, window)
-    assert [tuple(r)[:7] for r in ordered] == want
-    assert sorted(order, key=repr) == sorted((d for d, _ in rows), key=repr)
-
-
 def test_packing_of_the_table(spark):
     check_pieces(op8_packing(spark, FOLDER).collect(), whole(spark), public_tokenizers.path("word_bpe_49k.json"))
 
