@@ -175,13 +175,13 @@ def shards_for(spark: SparkSession, n_blocks: int, keys_per_block: int = BLOCK_W
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks * keys_per_block // keys_per_shard + 1)
 
 
-def totals(frame: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray]], shards: int, repeated: bool = False) -> DataFrame:
+def totals(frame: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray]], shards: int, repeated: bool = False, least: int = 2) -> DataFrame:
     """Sums over all blocks of the counts of each block's keys: ``(block, shard, total, n_keys, n_sum)``.
 
     ``keys(row)`` gives a block's distinct keys, sorted, with counts. ``total`` packs the sums in the order of those
     keys within the shard; ``merge`` puts the shards together. ``n_keys`` and ``n_sum`` are the shard's number of even
     keys with a positive sum and their sum, in one row of the shard. With ``repeated``, ``total`` holds instead those
-    of the block's keys whose sum is 2 or more.
+    of the block's keys whose sum is ``least`` or more.
     """
 
     def send(batches):
@@ -190,11 +190,12 @@ def totals(frame: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray
                 k, c = keys(row)
                 where = shard_of(k, shards)
                 order = np.argsort(where, kind="stable")
-                ends = np.cumsum(np.bincount(where, minlength=shards))
+                k, c, where = k[order], c[order].astype(np.uint32), where[order]
+                # only the shards that have keys of this block
+                starts = np.flatnonzero(np.diff(where, prepend=-1))
                 out = []
-                for s, (ks, cs) in enumerate(zip(np.split(k[order], ends[:-1]), np.split(c[order], ends[:-1]), strict=True)):
-                    if len(ks):
-                        out.append((s, ks.tobytes(), pack(cs.astype(np.uint32))))
+                for s, a, b in zip(where[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(k)], strict=False):
+                    out.append((s, k[a:b].tobytes(), pack(c[a:b])))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["block"]] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()),
@@ -212,7 +213,7 @@ def totals(frame: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray
         out, at = [], 0
         for k in ks:
             total = sums[back[at : at + len(k)]]
-            out.append(k[total > 1].tobytes() if repeated else pack(total))
+            out.append(k[total >= least].tobytes() if repeated else pack(total))
             at += len(k)
         first = [1] + [0] * (len(ks) - 1)
         return pa.table(
