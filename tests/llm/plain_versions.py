@@ -32,12 +32,12 @@ def repeats_digest(rows, n):
     return [(d, k, g, hashlib.sha256(" ".join(w).encode()).hexdigest()) for d, k, g, w in repeats(rows, n)]
 
 
-def near_duplicates(rows, percent=85):
+def near_duplicates(rows, percent=85, shingle=5):
     """``(doc_id, n_shingles, component_id, kept)`` by comparing all pairs that share a shingle."""
     sets = []
     for d, t in rows:
         w = words(t, lower=True)
-        sets.append((d, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+        sets.append((d, {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()))
     parent = list(range(len(sets)))
 
     def find(x):
