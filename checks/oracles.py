@@ -442,3 +442,6 @@ ORACLES |= {
     "xml_folder_encodings": "SELECT c_custkey, 'Ação ' || c_name AS inside FROM customer",
     "load_documents_replayed": f"{ORACLES['nfe_reject_invalid']} UNION ALL SELECT 'NFe', 'kept', count(*) FROM ({ORACLES['nfe_keep_valid']})",
 }
+
+# The same rows by other ways of reading.
+ORACLES |= {"scan_multiline_split": ORACLES["scan_text_multiline"]}

@@ -156,6 +156,19 @@ def scan_text_multiline(spark, folder):
     return scan_delimited(spark, _written_csv(docs)).rows
 
 
+def scan_multiline_split(spark, folder):
+    """The same in one file, which many tasks cut into records."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    path = _written_csv(docs.coalesce(1))
+    size, setting = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0], "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, min(64 << 20, size // 8 + 1))
+        return scan_delimited(spark, path).rows
+    finally:
+        spark.conf.set(setting, before)
+
+
 def scan_long_rows(spark, folder):
     """Short rows are padded, rows with too many cells are set apart."""
     key = F.col("o_orderkey")
@@ -478,6 +491,7 @@ QUERIES = {
         nfe_items_flatten, nfe_items_typed, nfe_tax_by_cst, nfe_top_suppliers, nfe_price_history,
         nfe_decode_labels, nfe_reject_invalid, nfe_keep_valid, cte_flatten, cte_typed, doc_classify,
         doc_types, mixed_split_counts, export_roundtrip, scan_text_roundtrip, scan_text_multiline,
+        scan_multiline_split,
         scan_long_rows, preview_rows, named_inputs, normalize_names, infer_column_types, coerce_integer,
         coerce_real, coerce_numeric, coerce_boolean, coerce_date, coerce_datetime, coerce_by_type_map,
         stringify_cells, composite_key, append_dedup, append_dedup_counts, enforce_key, align_schema,
