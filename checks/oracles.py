@@ -443,5 +443,17 @@ ORACLES |= {
     "load_documents_replayed": f"{ORACLES['nfe_reject_invalid']} UNION ALL SELECT 'NFe', 'kept', count(*) FROM ({ORACLES['nfe_keep_valid']})",
 }
 
+_LOADED = ("Chave_NFe", "No_Item", "Codigo_produto", "CST_ICMS", "Vlr_ICMS")
+_RESOLVED = ("Chave_NFe", "No_Item", "Natureza_da_Operacao", "Unid_medida", "Vlr_Produto")
 # The same rows by other ways of reading.
-ORACLES |= {"scan_multiline_split": ORACLES["scan_text_multiline"]}
+ORACLES |= {
+    "scan_multiline_split": ORACLES["scan_text_multiline"],
+    "xml_batch_split": ORACLES["nfe_items_flatten"],
+    "xml_landing": ORACLES["nfe_items_flatten"],
+    "xml_folder_load": f"""{BASE}, t AS (SELECT {", ".join(f"{NFE[c]} AS {c}" for c in _LOADED)}, k FROM item WHERE k % 97 <> 0)
+SELECT {", ".join(_LOADED)}, NULL AS doc_type, NULL AS reason, NULL AS n_documents FROM t
+UNION ALL SELECT {", ".join("NULL" for _ in _LOADED)}, doc_type, reason, n_documents FROM ({ORACLES["nfe_reject_invalid"]})""",
+    "xml_entities": f"""{BASE}, t AS (SELECT {", ".join(f"{NFE[c]} AS {c}" for c in _RESOLVED)}, k FROM item WHERE k % 97 > 1)
+SELECT {", ".join(_RESOLVED)}, NULL AS doc_type, NULL AS reason, NULL AS n_documents FROM t
+UNION ALL SELECT {", ".join("NULL" for _ in _RESOLVED)}, 'NFe', 'malformed', CAST(sum(ceil(n / 990.0)) AS BIGINT) FROM head WHERE k % 97 < 2""",
+}

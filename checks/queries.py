@@ -14,14 +14,14 @@ from lastro.operators.keys import append_counts, first_per_key, new_records, wit
 from lastro.operators.registry import latest_state, with_key_columns
 from lastro.operators.reports import freight_links, price_history, report_on, row_counts, tax_by_code, top_suppliers
 from lastro.operators.shape import align, coerce, declared_schema, union_ragged
-from lastro.plans.fiscal import CSV_OUT, FiscalData, export_by_type, load_documents, stage
+from lastro.plans.fiscal import CSV_OUT, FiscalData, export_by_type, load_documents, load_folder, stage
 from lastro.plans.load import append_tables, replace_tables
 from checks.order_documents import cte_documents, mixed_documents, nfe_documents
 from lastro.session import shared_folder
 from lastro.sources.catalog import catalog_report
 from lastro.sources.delimited import preview, read_inputs, scan_delimited
-from lastro.sources.xml_folder import decoded_text
-from lastro.streaming.landing import append_delimited
+from lastro.sources.xml_folder import decoded_text, read_xml_folder
+from lastro.streaming.landing import append_delimited, append_xml
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -485,6 +485,92 @@ def load_documents_replayed(spark, folder):
     return listed.unionByName(kept)
 
 
+# --- folders of XML files -----------------------------------------------------------------------
+
+#: Orders whose documents share a file.
+BATCH = 40
+NFE_ROOT = r"</?nfeProc[^>]*>"
+
+
+def _written_texts(texts: DataFrame, per_file: int | None = 1, folder: str | None = None) -> str:
+    """A folder of files with these texts; Spark's text files end in ``.txt``."""
+    path = folder or shared_folder(texts.sparkSession, "xml")
+    writer = texts.write.mode("append")
+    (writer.option("maxRecordsPerFile", per_file) if per_file else writer).text(path)
+    return path
+
+
+def _order_of(path: str = "path"):
+    return F.split(path, "/")[1].cast("bigint")
+
+
+def _batched(docs: DataFrame, root: str) -> DataFrame:
+    """Documents of ``BATCH`` orders in one text under ``root``, bare as they come from their own roots."""
+    inside = F.array_join(F.collect_list(F.regexp_replace("text", NFE_ROOT, "")), "\n")
+    grouped = docs.groupBy(F.floor(_order_of() / BATCH).alias("batch")).agg(inside.alias("inside"))
+    return grouped.select(F.concat(F.lit(f"<{root}>"), "inside", F.lit(f"</{root}>")).alias("text"))
+
+
+def _as_found(docs: DataFrame) -> DataFrame:
+    """Documents in the forms that folders hold: wrapped, bare, prefixed and in batches, with more tax groups."""
+    k = _order_of()
+    group = F.element_at(F.array(*map(F.lit, ("ICMS10", "ICMS20", "ICMS30", "ICMS40", "ICMS50", "ICMS90"))), (k % 6 + 1).cast("int"))
+    docs = docs.select("path", F.replace("text", F.lit("ICMS20"), group).alias("text"))
+    bare = F.regexp_replace("text", NFE_ROOT, "")
+    prefixed = F.concat(F.lit('<n:nfeProc xmlns:n="urn:x">'), F.regexp_replace(bare, r"<(/?)([A-Za-z])", "<$1n:$2"), F.lit("</n:nfeProc>"))
+    sound = k % BROKEN_EVERY != 0
+    single = docs.where((k % 4 < 3) | ~sound)
+    text = F.when(sound & (k % 4 == 1), bare).when(sound & (k % 4 == 2), prefixed).otherwise(F.col("text"))
+    return single.select(text.alias("text")).unionByName(_batched(docs.where((k % 4 == 3) & sound), "enviNFe"))
+
+
+def xml_folder_load(spark, folder):
+    """A folder of files in all forms, some of them broken: the rows of table NFe, and the ledger of rejects by reason."""
+    database = _new_database(spark)
+    files = _written_texts(_as_found(nfe_docs(spark, folder, broken_every=BROKEN_EVERY)))
+    load_folder(spark, files, pattern="*.txt", database=database)
+    rows = spark.table(f"{database}.NFe").select("Chave_NFe", "No_Item", "Codigo_produto", "CST_ICMS", "Vlr_ICMS")
+    listed = spark.table(f"{database}._fiscal_rejects").groupBy("doc_type", "reason").agg(F.count(F.lit(1)).alias("n_documents"))
+    return union_ragged([rows, listed])
+
+
+def xml_landing(spark, folder):
+    """Two landings of batch files that overlap, taken up by a stream: every document once, with all its items."""
+    database, docs, k = _new_database(spark), nfe_docs(spark, folder), _order_of()
+    landing, checkpoint = shared_folder(spark, "xml-landing"), shared_folder(spark, "xml-landing-state")
+    for part in (docs.where(k % 3 != 0), docs.where(k % 2 == 0), docs.where(k % 2 != 0)):
+        _written_texts(_batched(part, "enviNFe"), folder=landing)
+        append_xml(spark, landing, checkpoint, database=database, pattern="*.txt").awaitTermination()
+    return spark.table(f"{database}.NFe").drop("_PK")
+
+
+def xml_batch_split(spark, folder):
+    """All documents in one file, read by many tasks."""
+    docs = nfe_docs(spark, folder).select(F.regexp_replace("text", NFE_ROOT, "").alias("text"))
+    edge = lambda text: spark.createDataFrame([(text,)], "text string")
+    opening, closing = '<?xml version="1.0" encoding="UTF-8"?><enviNFe xmlns="urn:x"><idLote>1</idLote>', "</enviNFe>"
+    files = _written_texts(edge(opening).unionByName(docs).unionByName(edge(closing)).coalesce(1), None)
+    return flatten(read_xml_folder(spark, files, pattern="*.txt", split_bytes=1), NFE)
+
+
+def xml_entities(spark, folder):
+    """Values by way of entities, nested ones too; documents whose entities never end or explode are rejects."""
+    k = _order_of()
+    bomb = "".join(f'<!ENTITY b{i} "{f"&b{i - 1};" * 20}">' for i in range(1, 8))
+    subset = (
+        F.when(k % BROKEN_EVERY == 0, F.lit(f'<!ENTITY b0 "{"x" * 50}">{bomb}<!ENTITY op "&b7;">'))
+        .when(k % BROKEN_EVERY == 1, F.lit('<!ENTITY op "&other;"><!ENTITY other "&op;">'))
+        .when(k % 3 == 0, F.lit("""<!ENTITY op 'V&end;'><!ENTITY end "enda"><!ENTITY un "UN">"""))
+    )
+    body = F.replace(F.replace("text", F.lit("<natOp>Venda<"), F.lit("<natOp>&op;<")), F.lit("<uCom>UN<"), F.when((k % BROKEN_EVERY > 1), F.lit("<uCom>&un;<")).otherwise(F.lit("<uCom>UN<")))
+    declared = F.concat(F.lit("<!DOCTYPE nfeProc [\n"), subset, F.lit("]>\n"), body)
+    docs = nfe_docs(spark, folder).select("path", F.when(subset.isNotNull(), declared).otherwise(F.col("text")).alias("text"))
+    columns = ["Chave_NFe", "No_Item", "Natureza_da_Operacao", "Unid_medida", "Vlr_Produto"]
+    data = stage(docs)
+    listed = data.rejects.groupBy("doc_type", "reason").agg(F.count(F.lit(1)).alias("n_documents"))
+    return union_ragged([data.nfe.select(*columns), listed])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -498,6 +584,6 @@ QUERIES = {
         union_ragged_tables, key_registry_lookup, catalog_report_tables, table_row_counts,
         load_replace_append, load_documents_append, incremental_append, append_typed_dates, append_booleans,
         append_empty_batch, load_named_sheets, coerce_date_dmy, coerce_time, xml_folder_encodings,
-        load_documents_replayed, freight_invoice_links,
+        load_documents_replayed, freight_invoice_links, xml_folder_load, xml_landing, xml_batch_split, xml_entities,
     )
 }

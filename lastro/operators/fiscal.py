@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from lastro.functions import codes
 from lastro.functions.text import date_part, filled, padded_number, without
+from lastro.operators.entities import with_entities
 from lastro.operators.paths import RECORD, Field, at, field, first_field, schema_of, text_at, variant_field
 
 # Names of the wanted columns, for all types or by type; None stands for all.
@@ -289,6 +290,7 @@ def parse(docs: DataFrame, doc_types: Sequence[str] = (NFE, CTE), columns: Colum
     removes the other files here: it would be pushed below the column that makes the text, and the
     text be decoded twice.
     """
+    docs = docs.select("path", with_entities(F.col("text")).alias("text"))
     text = F.col("text")
     options = {
         "mode": "PERMISSIVE",
