@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastro.session import shared_folder
+from lastro.session import drop_folder, shared_folder
 
 BLOCK_WORDS = 1_000_000
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 20_000
@@ -38,7 +38,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and fixes what depends on task numbers."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    drop_folder(df.sparkSession, df.stored_at)
 
 
 def fresh(df: DataFrame, name: str) -> str:

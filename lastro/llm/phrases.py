@@ -2,8 +2,8 @@
 
 Fingerprints are those of Rabin and Karp. Prefix polynomials over the hashes of a block's words, modulo 2**64, give the
 fingerprint of every phrase in a few array operations per length. Blocks send distinct fingerprints with their counts and
-get sums back (``common.totals``), so a phrase that is in every text travels once per block. A longer phrase is only
-fingerprinted where the two phrases it is made of, without its last and without its first word, are frequent.
+get sums back (``common.totals``), so a phrase that is in every text travels once per block. Words and pairs go first; a
+longer phrase is only fingerprinted where all of its pairs are frequent.
 
 Then each block goes to the places of its frequent fingerprints: a fingerprint's first place in the block is its pointer,
 every other place is compared with the words there, and places that differ are counted apart, under their own words. So
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lastro.llm.common import among, blocks, found, hash_words, mix, opened, shards_for, stored, table, totals, with_totals
+from lastro.llm.common import among, blocks, found, hash_words, mix, opened, remove, shard_of, shards_for, stored, table, totals, with_totals
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-BLOCK_WORDS, SHARD_KEYS = 300_000, 1_000_000
+BLOCK_WORDS, SHARD_KEYS = 500_000, 1_000_000
 SEPARATORS = r"[.,;:!?\x0A-\x0D]+"
 #: Stands for separators in a block; no word can be equal to it.
 CUT = b"."
@@ -56,12 +57,12 @@ class Prints:
         value = (self.prefix[at + n] - self.prefix[at]) * self.back[at]
         return mix(value, self.lang[at] + np.uint64(n))
 
-    def starts(self, n: int, frequent: np.ndarray | None) -> np.ndarray:
-        """Where phrases of ``n`` words start; from the third word on only where both shorter ones are ``frequent``."""
+    def starts(self, n: int, pairs: np.ndarray | None) -> np.ndarray:
+        """Where phrases of ``n`` words start; those of three or more only where all of their ``pairs`` are frequent."""
         at = np.flatnonzero(self.room >= n)
-        if n < 3:
-            return at
-        return at[frequent[at] & frequent[at + 1]]
+        for k in range(n - 1) if n > 2 else ():
+            at = at[pairs[at + k]]
+        return at
 
 
 def labelled(keys: np.ndarray, n: int) -> np.ndarray:
@@ -73,28 +74,46 @@ def of_length(keys: np.ndarray, n: int) -> np.ndarray:
     return keys[(keys & np.uint64(7)) == np.uint64(n)]
 
 
-def materialised(row: dict, longest: int) -> pa.RecordBatch:
-    """The texts of a block's frequent fingerprints with their counts; places whose words differ from the pointer's are counted apart."""
-    prints, out = Prints(row), {"lang": [], "words": [], "phrase": [], "n": []}
-    own, langs = np.frombuffer(row["prints"], np.uint64), prints.lang.view(np.int64)
+TEXTS = pa.schema([("lang_hash", pa.int64()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+def packed_batch(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened_batch(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def materialised(row: dict, own: np.ndarray, longest: int) -> pa.RecordBatch:
+    """The texts of a block's frequent fingerprints ``own`` with their counts; places whose words differ from the pointer's are counted apart."""
+    prints = Prints(row)
+    langs, words = prints.lang.view(np.int64), np.array([*prints.words, b""], object)
+    parts = [pa.RecordBatch.from_pylist([], MADE)]
     for n in range(1, longest + 1):
         at = np.flatnonzero(prints.room >= n)
         key = labelled(prints.of(at, n), n)
         hit = among(key, of_length(own, n))
         at, key = at[hit], key[hit]
         while len(at):
-            _, first, back = np.unique(key, return_index=True, return_inverse=True)
-            pointer = at[first][back]
+            distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+            start = at[first]
+            pointer = start[back]
             same = langs[at] == langs[pointer]
             for k in range(n):
                 same &= prints.codes[at + k] == prints.codes[pointer + k]
-            for p, c in zip(at[first].tolist(), np.bincount(back, weights=same).astype(np.int64).tolist(), strict=True):
-                out["lang"].append(int(langs[p]))
-                out["words"].append(n)
-                out["phrase"].append(b" ".join(prints.words[x] for x in prints.codes[p : p + n].tolist()).decode())
-                out["n"].append(c)
+            pieces = [words[prints.codes[start + k]].tolist() for k in range(n)]
+            phrases = [b" ".join(w).decode() for w in zip(*pieces, strict=True)]
+            times = np.bincount(back, weights=same).astype(np.int64)
+            parts.append(pa.RecordBatch.from_arrays([pa.array(langs[start]), pa.array(np.full(len(start), n, np.int32)), pa.array(phrases, pa.string()), pa.array(times), pa.array(distinct)], schema=MADE))
             at, key = at[~same], key[~same]
-    return pa.RecordBatch.from_pydict(out, pa.schema([("lang", pa.int64()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())]))
+    return pa.concat_batches(parts)
+
+
+MADE = pa.schema([*TEXTS, ("key", pa.uint64())])
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -111,56 +130,59 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     held = blocks(docs.select(F.xxhash64(lang).alias("doc_id"), F.lit(0).alias("flag"), pieces.alias("text")), block_words=BLOCK_WORDS)
     shards = shards_for(spark, held.count(), BLOCK_WORDS, SHARD_KEYS)
 
-    def counts(lengths, frequent_from):
-        """Keys of the phrases of these lengths, with counts; ``frequent_from(row, prints)`` tells where to look for long ones."""
+    def counts(lengths):
+        """Keys of the phrases of these lengths, with counts; long ones only where all of their pairs are frequent."""
 
         def keys(row):
             prints = Prints(row)
-            frequent, out = frequent_from(row, prints), []
-            for n in lengths:
-                out.append(labelled(prints.of(prints.starts(n, frequent), n), n))
-            return np.unique(np.concatenate(out), return_counts=True)
+            pairs = np.unpackbits(np.frombuffer(row["pairs"], np.uint8), count=len(prints.codes)).astype(bool) if "pairs" in row else None
+            return np.unique(np.concatenate([labelled(prints.of(prints.starts(n, pairs), n), n) for n in lengths]), return_counts=True)
 
         return keys
 
-    def kept(n):
-        """Store, beside each block, where phrases of ``n`` words are frequent, and their fingerprints."""
-
-        def work(row, rows):
-            keys = found(rows)
-            before = row.get("prints") or b""
-            prints = Prints(row)
-            own = np.sort(np.concatenate([np.frombuffer(before, np.uint64), keys]))
-            places = np.zeros(len(prints.codes), bool)
-            at = np.flatnonzero(prints.room >= n)
-            places[at] = among(labelled(prints.of(at, n), n), of_length(keys, n))
-            return pa.table({**{c: pa.array([row[c]], t) for c, t in BLOCK_TYPES.items()}, "places": pa.array([np.packbits(places).tobytes()], pa.binary()), "prints": pa.array([own.tobytes()], pa.binary())})
-
-        return work
-
-    def places_of(row, prints):
-        return np.unpackbits(np.frombuffer(row["places"], np.uint8), count=len(prints.codes)).astype(bool) if "places" in row else None
-
-    # words and pairs first, then one length more a round
-    for n in range(2, max(longest, 2) + 1):
-        sums = totals(held, counts([1, 2] if n == 2 else [n], places_of), shards, repeated=True, least=least)
-        held = stored(with_totals(held, sums, kept(n), KEPT_SCHEMA), f"phrases-{n}")
-
-    def verified(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield materialised(row, longest)
-
-    counted = held.mapInArrow(verified, "lang_hash long, words int, phrase string, n long").groupBy("lang_hash", "words", "phrase").agg(F.sum("n").alias("n"))
+    def with_pairs(row, rows):
+        """The block, its frequent fingerprints, and where in it pairs are frequent."""
+        keys, prints = found(rows), Prints(row)
+        at = np.flatnonzero(prints.room >= 2)
+        pairs = np.zeros(len(prints.codes), bool)
+        pairs[at] = among(labelled(prints.of(at, 2), 2), of_length(keys, 2))
+        block = {c: pa.array([row[c]], t) for c, t in BLOCK_TYPES.items()}
+        return pa.table({**block, "pairs": pa.array([np.packbits(pairs).tobytes()], pa.binary()), "prints": pa.array([keys.tobytes()], pa.binary())})
+
+    def texts(row, rows):
+        """The block's frequent texts, packed into one row a shard."""
+        own = np.sort(np.concatenate([np.frombuffer(row.get("prints", b""), np.uint64), found(rows)]))
+        made = materialised(row, own, longest)
+        where = shard_of(made.column("key").to_numpy(), shards)
+        order = np.argsort(where, kind="stable")
+        made, where = made.select(["lang_hash", "words", "phrase", "n"]).take(pa.array(order)), where[order]
+        starts = np.flatnonzero(np.diff(where, prepend=-1))
+        parts = [packed_batch(made.slice(a, b - a)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(where)], strict=False)]
+        return pa.table({"shard": pa.array(where[starts], pa.int32()), "part": pa.array(parts, pa.binary())})
+
+    def summed(group: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([opened_batch(x) for x in group.column("part").to_pylist()])
+        sums = rows.group_by(["lang_hash", "words", "phrase"]).aggregate([("n", "sum")])
+        sums = sums.rename_columns([c.removesuffix("_sum") for c in sums.column_names]).select(TEXTS.names)
+        return sums.filter(pc.greater_equal(sums.column("n"), least))
+
+    sums = totals(held, counts([1, 2]), shards, repeated=True, least=least)
+    if longest > 2:
+        paired = stored(with_totals(held, sums, with_pairs, PAIRED), "phrase-pairs")
+        remove(held)
+        held, sums = paired, totals(paired, counts(range(3, longest + 1)), shards, repeated=True, least=least)
+    parts = with_totals(held, sums, texts, "shard int, part binary").groupBy("shard")
+    counted = stored(parts.applyInArrow(summed, "lang_hash long, words int, phrase string, n long"), "phrase-texts")
+    remove(held)
     # one row a language
     names = docs.select(lang.alias("lang")).distinct().withColumn("lang_hash", F.xxhash64("lang"))
-    return counted.where(F.col("n") >= least).join(names, "lang_hash").select("lang", "words", "phrase", "n")
+    return counted.join(names, "lang_hash").select("lang", "words", "phrase", "n")
 
 
 BLOCK_TYPES = {
     "block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "flags": pa.list_(pa.int32()), "offsets": pa.binary(), "codes": pa.binary(), "words": pa.binary(),
 }
-KEPT_SCHEMA = "block long, doc_ids array<bigint>, flags array<int>, offsets binary, codes binary, words binary, places binary, prints binary"
+PAIRED = "block long, doc_ids array<bigint>, flags array<int>, offsets binary, codes binary, words binary, pairs binary, prints binary"
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:

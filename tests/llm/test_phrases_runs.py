@@ -75,9 +75,8 @@ def test_equal_fingerprints_are_told_apart_by_their_words(spark, monkeypatch):
     docs = spark.createDataFrame([(7, 0, "a b . a b . c d . a b . c d"), (8, 0, "a b")], "doc_id long, flag int, text string")
     row = blocks(docs.coalesce(1)).first().asDict()
     monkeypatch.setattr(phrases.Prints, "of", lambda self, at, n: np.full(len(at), 64, np.uint64))
-    row["prints"] = np.array([64 | 2], np.uint64).tobytes()
-    got = phrases.materialised(row, 2).to_pylist()
-    assert sorted((r["lang"], r["phrase"], r["n"]) for r in got) == [(7, "a b", 3), (7, "c d", 2), (8, "a b", 1)]
+    got = phrases.materialised(row, np.array([64 | 2], np.uint64), 2).to_pylist()
+    assert sorted((r["lang_hash"], r["phrase"], r["n"]) for r in got) == [(7, "a b", 3), (7, "c d", 2), (8, "a b", 1)]
 
 
 # --- periodic runs
