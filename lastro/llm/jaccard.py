@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, merge, opened, shards_for, stored, table, totals, with_totals
+from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, merge, opened, remove, shards_for, stored, table, totals, with_totals
 from lastro.llm.minhash import components
 
 SHINGLE, PERCENT = 3, 90
-BLOCK_WORDS, SHARD_KEYS, TILE = 300_000, 1_000_000, 512
+BLOCK_WORDS, SHARD_KEYS, TILE = 400_000, 1_000_000, 512
 NARROWEST = 64
 SIGNED = "place long, doc_id long, n_shingles long, class binary, n long, bits binary, shingles binary, marks array<struct<mark: long, at: int>>"
 
@@ -125,7 +125,9 @@ def signed_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             }
         )
 
-    return stored(with_totals(held, sums, sign, SIGNED), "signed-sets")
+    signed = stored(with_totals(held, sums, sign, SIGNED), "signed-sets")
+    remove(held)
+    return signed
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
