@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from lastro.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOL = "#*$%&|<>"
+SYMBOLIC = r"[#*$%&|<>]"
 CLOSING = r"""[.!?:;,"')\]][\x20\x09-\x0D]*\z"""
 SYMBOLS, SHORT, PHRASE_WORDS, KEEP = 15, 4, 20, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -37,23 +36,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def length_without(text: Column, drop: str) -> Column:
-    return F.length(F.translate(text, drop, ""))
-
-
-def solid(text: Column) -> Column:
-    """Characters in words."""
-    return length_without(text, SPACES)
+def characters(words: Column) -> Column:
+    return F.length(F.array_join(words, ""))
 
 
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of three words that the text has twice or more."""
 
     def windows(w):
-        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))
+        """The hash goes first: words are only compared where hashes are equal."""
+
+        def window(x, i):
+            y, z = F.get(w, i + 1), F.get(w, i + 2)
+            return F.struct(F.xxhash64(x, y, z).alias("h"), x.alias("a"), y.alias("b"), z.alias("c"), i.alias("i"))
+
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), window)
 
     def same(x, y):
-        return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+        return F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
 
     def places(s):
         """Where windows start that equal a neighbour in sorted order."""
@@ -67,20 +67,26 @@ def repeated_words(words: Column) -> Column:
     return let(words, lambda w: let(F.sort_array(windows(w)), lambda s: let(places(s), covered)))
 
 
-def passes(line: Column) -> Column:
-    words = F.regexp_count(line, F.lit(WORD))
-    bars = F.length(line) - length_without(line, "|")
-    symbols = F.length(line) - length_without(line, SYMBOL)
-    phrase = F.lit(False)
-    for p in PHRASES:
-        phrase = phrase | F.contains(F.lower(line), F.lit(p))
-    fails = (
-        (F.lit(100) * symbols > F.lit(SYMBOLS) * solid(line))
-        | ((words < SHORT) & ~line.rlike(CLOSING))
-        | (F.lit(4) * bars >= words)
-        | ((words <= PHRASE_WORDS) & phrase)
-    )
-    return ~fails
+def measured(line: Column) -> Column:
+    """A line with its number of words and their characters; its words are sought once."""
+    return let(F.regexp_extract_all(line, F.lit(WORD), 0), lambda w: F.struct(line.alias("line"), F.size(w).alias("words"), characters(w).alias("solid")))
+
+
+def passes(x: Column) -> Column:
+    """Whether a ``measured`` line passes; bars are symbols, so they are only counted in lines with symbols."""
+    line, words = x["line"], x["words"]
+
+    def fails(symbols):
+        bars = F.when(symbols == 0, 0).otherwise(F.regexp_count(line, F.lit(r"\|")))
+        phrase = F.lower(line).rlike("|".join(PHRASES))
+        return (
+            (F.lit(100) * symbols > F.lit(SYMBOLS) * x["solid"])
+            | ((words < SHORT) & ~line.rlike(CLOSING))
+            | (F.lit(4) * bars >= words)
+            | ((words <= PHRASE_WORDS) & phrase)
+        )
+
+    return ~let(F.regexp_count(line, F.lit(SYMBOLIC)), fails)
 
 
 def judged(docs: DataFrame, into: str = "rules") -> DataFrame:
@@ -89,17 +95,17 @@ def judged(docs: DataFrame, into: str = "rules") -> DataFrame:
     first = docs.withColumn(into, F.struct(F.regexp_extract_all(whole, F.lit(WORD), 0).alias("words"), F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD)).alias("lines")))
 
     def counts(r):
-        n_words, chars = F.size(r["words"]).cast("long"), solid(whole).cast("long")
+        n_words, chars = F.size(r["words"]).cast("long"), characters(r["words"]).cast("long")
         distinct = F.array_distinct(r["lines"])
 
         def verdict(good):
-            kept_chars = F.aggregate(good, F.lit(0).cast("long"), lambda a, x: a + solid(x))
-            return F.struct(kept_chars.alias("kept_chars"), F.when(kept_chars == chars, whole).otherwise(F.array_join(good, "\n")).alias("cleaned"))
+            kept_chars = F.aggregate(good, F.lit(0).cast("long"), lambda a, x: a + x["solid"])
+            return F.struct(kept_chars.alias("kept_chars"), F.when(kept_chars == chars, whole).otherwise(F.array_join(good["line"], "\n")).alias("cleaned"))
 
         return F.struct(
-            n_words.alias("n_words"), chars.alias("word_chars"), (F.length(whole) - length_without(whole, SYMBOL)).cast("long").alias("n_symbols"),
+            n_words.alias("n_words"), chars.alias("word_chars"), F.regexp_count(whole, F.lit(SYMBOLIC)).cast("long").alias("n_symbols"),
             (F.size(r["lines"]) - F.size(distinct)).cast("long").alias("n_dup_lines"), repeated_words(r["words"]).alias("n_repeat_words"),
-            let(F.filter(distinct, passes), verdict).alias("lines"),
+            let(F.filter(F.transform(distinct, measured), passes), verdict).alias("lines"),
         )
 
     return verdicts(first.withColumn(into, let(F.col(into), counts)), into)
