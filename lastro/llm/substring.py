@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from lastro.llm.common import among, blocks, found, gram_hashes, hash_words, inside, opened, shards_for, slices, split_words, strings, table, totals, with_totals
 
 WORDS, GRAM = 35, 12
+#: A block's arrays of 64-bit hashes take about a hundred bytes a word.
+BLOCK_WORDS, BLOCK_KEYS = 300_000, 90_000
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -64,8 +66,8 @@ def anchors(row: dict, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """The stored blocks, and for each block the hashes of its windows that repeat anywhere."""
-    held = blocks(docs.select("doc_id", F.lit(0).alias("flag"), "text"))
-    shards = shards_for(docs.sparkSession, held.count(), 300_000)
+    held = blocks(docs.select("doc_id", F.lit(0).alias("flag"), "text"), block_words=BLOCK_WORDS)
+    shards = shards_for(docs.sparkSession, held.count(), BLOCK_KEYS)
     first = totals(held, lambda row: anchors(row, words), shards, repeated=True)
 
     def candidates(row, rows):
