@@ -138,6 +138,17 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), dtype=kind)
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as their gaps, byte plane by byte plane: the leading bytes of gaps are mostly zero."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return pack(gaps.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    planes = unpack(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def blocks(docs: DataFrame, lower: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs(doc_id, flag, text)`` as stored blocks; every row of ``docs`` lies in exactly one."""
 
@@ -202,7 +213,7 @@ def totals(frame: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray
                 starts = np.flatnonzero(np.diff(where, prepend=-1))
                 out = []
                 for s, a, b in zip(where[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(k)], strict=False):
-                    out.append((s, k[a:b].tobytes(), pack(c[a:b])))
+                    out.append((s, pack_sorted(k[a:b]), pack(c[a:b])))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["block"]] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()),
@@ -212,7 +223,7 @@ def totals(frame: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray
                 )
 
     def reduce(group: pa.Table) -> pa.Table:
-        ks = [np.frombuffer(x, np.uint64) for x in group.column("ks").to_pylist()]
+        ks = [unpack_sorted(x) for x in group.column("ks").to_pylist()]
         cs = [unpack(x, np.uint32) for x in group.column("cs").to_pylist()]
         distinct, back = np.unique(np.concatenate(ks), return_inverse=True)
         sums = np.bincount(back, weights=np.concatenate(cs), minlength=len(distinct)).astype(np.int64)
