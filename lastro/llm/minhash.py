@@ -31,8 +31,6 @@ from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, opene
 
 SHINGLE, PERCENT = 5, 85
 HASHES, BANDS, ROWS, HUB_ROUNDS = 80, 32, 5, 3
-#: Numbers from here on stand for classes whose documents have no id.
-NO_ID = 1 << 62
 
 
 def shingle_sets(row: dict, only: list[int] | None = None) -> list[np.ndarray]:
@@ -129,15 +127,15 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs(doc_id, text)`` with ``n_shingles``, ``component_id`` and ``kept``; documents link from ``percent`` on."""
     held = blocks(docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("flag"), "text"), lower=True)
     signed = stored(held.mapInArrow(signatures, "place long, doc_id long, n_shingles long, class binary, bands array<bigint>"), "signatures")
-    node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("class"), F.lit(NO_ID)))
-    classes = signed.where("class is not null").groupBy("class").agg(node.alias("node"), F.min("place").alias("place"), F.first("n_shingles").alias("n"))
+    # a class goes by the place of its first row, since ids may be any number, null or repeated
+    classes = signed.where("class is not null").groupBy("class").agg(F.min("place").alias("node"), F.min("doc_id").alias("least"))
     classes = stored(classes, "classes")
 
     banded = signed.where("bands is not null").select("class", F.explode("bands").alias("band")).distinct()
     banded = stored(banded, "bands")
     shared = stored(banded.groupBy("band").count().where("count > 1").select("band"), "shared")
     members = stored(banded.join(shared, "band"), "members")
-    wanted = members.select("class").distinct().join(classes, "class").select("class", "node", "place")
+    wanted = members.select("class").distinct().join(classes, "class").select("class", "node", F.col("node").alias("place"))
     sets = stored(full_sets(held, wanted), "sets")
 
     links = None
@@ -156,10 +154,13 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         roots = components(links)
         open_members = open_members.drop("root").join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("class", "band", "node", "n", F.coalesce("root", "node").alias("root"))
         open_members = stored(open_members.join(spread.select("band"), "band", "left_semi"), "members")
-    named = classes.select("class", "node")
+    named = classes.select("class", "node", "least", F.col("node").alias("root"))
     if links is not None:
-        named = named.join(roots, "node", "left").select("class", F.coalesce("root", "node").alias("node"))
-    named = stored(named.select("class", F.when(F.col("node") < NO_ID, F.col("node")).alias("component_id"), F.lit(True).alias("known")), "named")
+        named = stored(named.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+        # only components of several classes have another class's id
+        several = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")).where("classes > 1")
+        named = named.join(several.drop("classes"), "root", "left").withColumn("least", F.coalesce("component_id", "least"))
+    named = stored(named.select("class", F.col("least").alias("component_id"), F.lit(True).alias("known")), "named")
     out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
