@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from lastro.llm.common import slices, stored, strings, table, word_codes
 from lastro.session import shared_folder
 
-MEMO = 700_000
+#: Bytes that one worker's memo may hold, and what an entry takes beside its characters.
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 200
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Characters beside a single space at which both sides are encoded alike apart or together.
 EDGE = r"[\pL\pN_!-/:-@\[-`{-~]"
@@ -54,6 +55,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaces, self.memo, self.marks = Tokenizer.from_file(path), spaces, {}, {}
+        self.held = 0
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def part(self, text: str) -> list[int]:
@@ -125,10 +127,14 @@ class Encoder:
         place = np.cumsum(used) - 1
         codes, words, memo = place[codes], words[used].tolist(), self.memo
         missing = [w for w in words if w not in memo]
-        if len(memo) + len(missing) > MEMO:
+        # a token takes four bytes and has a character or more in most words
+        size = sum(map(len, missing)) * 5 + len(missing) * ENTRY_BYTES
+        if self.held + size > MEMO_BYTES and memo:
             memo.clear()
-            missing = words
+            missing, self.held = words, 0
+            size = sum(map(len, missing)) * 5 + len(missing) * ENTRY_BYTES
         self.learn(missing)
+        self.held += size
         return offsets, codes, [memo[w] for w in words]
 
 
