@@ -123,6 +123,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(left, "a").join(right, "b").where(near).select("u", "v")
 
 
+def of_one_id(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links ``(u, v)`` between the classes of rows that share an id, which are one document; None where ids do not repeat so."""
+    rows = signed.where("class is not null AND doc_id is not null")
+    several = stored(rows.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("doc_id", "lo"), "repeated-ids")
+    if several.isEmpty():
+        return None
+    pairs = rows.join(several, "doc_id").where("class <> lo").select("lo", "class").distinct()
+    first = classes.select(F.col("class").alias("lo"), F.col("node").alias("u"))
+    return stored(pairs.join(first, "lo").join(classes, "class").select("u", F.col("node").alias("v")), "links")
+
+
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs(doc_id, text)`` with ``n_shingles``, ``component_id`` and ``kept``; documents link from ``percent`` on."""
     held = blocks(docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("flag"), "text"), lower=True)
@@ -138,7 +149,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = members.select("class").distinct().join(classes, "class").select("class", "node", F.col("node").alias("place"))
     sets = stored(full_sets(held, wanted), "sets")
 
-    links = None
+    links = of_one_id(signed, classes)
+    roots = None if links is None else components(links)
     open_members = stored(members.join(sets.select("class", "node", F.size("shingles").alias("n")), "class"), "members").withColumn("root", F.col("node"))
     for i in range(HUB_ROUNDS + 1):
         spread = open_members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(i)), "class", "root")).alias("hub"))

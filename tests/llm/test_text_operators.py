@@ -154,6 +154,15 @@ def test_near_duplicates_at_another_percent(docs):
     assert {r.doc_id for r in got.where("kept").collect()} == {1, 3}
 
 
+def test_near_duplicates_with_any_ids(docs):
+    base = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(base), " ".join([*base[:-1], "x"]), "q w e r t y u i"
+    big = 1 << 62
+    rows = [(big, other), (big + 5, text), (2 * big - 1, near), (-7, "one two three four five six"), (-2 * big, near), (3, "a b c d e"), (3, "f g h i j"), (None, "k l m n o"), (None, text)]
+    got = key(linked(docs(rows)).collect())
+    assert got == key(near_duplicates(rows))
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(200, 201), (201, 200), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
