@@ -450,6 +450,7 @@ ORACLES |= {
     "scan_multiline_split": ORACLES["scan_text_multiline"],
     "xml_batch_split": ORACLES["nfe_items_flatten"],
     "xml_landing": ORACLES["nfe_items_flatten"],
+    "xml_repeated_elements": ORACLES["nfe_items_flatten"],
     "xml_folder_load": f"""{BASE}, t AS (SELECT {", ".join(f"{NFE[c]} AS {c}" for c in _LOADED)}, k FROM item WHERE k % 97 <> 0)
 SELECT {", ".join(_LOADED)}, NULL AS doc_type, NULL AS reason, NULL AS n_documents FROM t
 UNION ALL SELECT {", ".join("NULL" for _ in _LOADED)}, doc_type, reason, n_documents FROM ({ORACLES["nfe_reject_invalid"]})""",

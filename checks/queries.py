@@ -571,6 +571,15 @@ def xml_entities(spark, folder):
     return union_ragged([data.nfe.select(*columns), listed])
 
 
+def xml_repeated_elements(spark, folder):
+    """Second elements at every depth, with other values: the first of each counts."""
+    text = F.replace("text", F.lit("</natOp>"), F.lit("</natOp><natOp>Outra</natOp>"))
+    second = "<prod><cProd>outro</cProd><CEST>1</CEST></prod><imposto><IPI><IPITrib><CST>98</CST></IPITrib></IPI></imposto></det>"
+    text = F.replace(text, F.lit("</det>"), F.lit(second))
+    text = F.replace(text, F.lit("</infNFe>"), F.lit("<ide><natOp>Outra</natOp><serie>9</serie></ide><emit><IM>9</IM></emit></infNFe>"))
+    return flatten(nfe_docs(spark, folder).select("path", text.alias("text")), NFE)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -584,6 +593,6 @@ QUERIES = {
         union_ragged_tables, key_registry_lookup, catalog_report_tables, table_row_counts,
         load_replace_append, load_documents_append, incremental_append, append_typed_dates, append_booleans,
         append_empty_batch, load_named_sheets, coerce_date_dmy, coerce_time, xml_folder_encodings,
-        load_documents_replayed, freight_invoice_links, xml_folder_load, xml_landing, xml_batch_split, xml_entities,
+        load_documents_replayed, freight_invoice_links, xml_folder_load, xml_landing, xml_batch_split, xml_entities, xml_repeated_elements,
     )
 }

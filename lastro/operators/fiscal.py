@@ -240,8 +240,6 @@ def type_counts(docs: DataFrame) -> DataFrame:
 
 def _body_schema(doc_type: str, fields: Iterable[Field]) -> T.StructType:
     paths = [*_REQUIRED[doc_type], *(p for f in fields for p in f.paths)]
-    if doc_type == NFE:
-        paths = ["det[]" + p.removeprefix("det") if p.startswith("det/") else p for p in paths]
     return schema_of(paths)
 
 
@@ -262,7 +260,7 @@ def _wanted(doc_type: str, columns: Columns) -> Sequence[str] | None:
 def _schemas(doc_type: str, columns: Sequence[str] | None) -> tuple[T.StructType, T.StructType]:
     """The schema inside the root and the schema of one document body."""
     body, schema = _BODY[doc_type], _body_schema(doc_type, _chosen(doc_type, columns))
-    wrapper = T.ArrayType(T.StructType([T.StructField(body, schema)]))
+    wrapper = T.ArrayType(T.StructType([T.StructField(body, T.ArrayType(schema))]))
     return T.StructType().add(doc_type, wrapper).add("_bad", "string"), schema
 
 
@@ -318,7 +316,7 @@ def _checked(doc_type: str, schema: T.StructType) -> Column:
     def failed(reason: str) -> Column:
         return F.array(F.struct(F.lit(reason).alias("reason"), F.lit(None).cast(schema).alias("body")))
 
-    bodies = F.filter(F.transform(x[doc_type], lambda d: d[body]), lambda b: b.isNotNull())
+    bodies = F.filter(F.transform(x[doc_type], lambda d: F.get(d[body], 0)), lambda b: b.isNotNull())
     good = F.transform(bodies, lambda b: F.struct(_reason(b, doc_type).alias("reason"), b.alias("body")))
     broken = x["_bad"].isNotNull() | ~F.col("ended")
     found = F.when(F.size(bodies) > 0, good).otherwise(failed(NO_DOCUMENT))
@@ -337,13 +335,13 @@ def documents(parsed_docs: DataFrame, doc_type: str) -> DataFrame:
 
 def _reason(body: Column, doc_type: str) -> Column:
     """Why a document yields no records: the first of the checks that fails."""
-    reason = F.when(body["ide"].isNull(), NO_IDE)
+    reason = F.when(F.get(body["ide"], 0).isNull(), NO_IDE)
     if doc_type == CTE:
         return reason
     items = body["det"]
     number = lambda d: F.coalesce(d["_nItem"], F.lit("0")).rlike(ITEM_NUMBER)
     return (
-        reason.when(F.exists(items, lambda d: d["imposto"].isNull()), NO_TAX_BLOCK)
+        reason.when(F.exists(items, lambda d: F.get(d["imposto"], 0).isNull()), NO_TAX_BLOCK)
         .when(F.exists(items, lambda d: ~number(d)), BAD_ITEM_NUMBER)
         .when(F.coalesce(F.size(items), F.lit(0)) <= 0, NO_ITEMS)
     )

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 
 RECORD = "r"
+# Split into records of one each before the paths are read, so it is no array there.
+ITEM = "det"
 
 
 @dataclass(frozen=True)
@@ -27,13 +29,22 @@ class Field:
     cast: str | None = None
 
 
+def elements(path: str) -> str:
+    """SQL for all repetitions of the element at ``a/b/c``, below the first ``a/b``; NULL where there is none."""
+    above, _, name = path.rpartition("/")
+    return f"{at(above) if above else RECORD}.{name}"
+
+
 def at(path: str) -> str:
     """SQL for the value at ``a/b/c``, with ``@x`` for an attribute; NULL wherever a part is missing.
 
-    SQL text rather than chained columns: a record has some hundred paths, and each step of a chain
-    would be a call into the JVM.
+    Of a repeated element the first counts, at every step. SQL text rather than chained columns: a record
+    has some hundred paths, and each step of a chain would be a call into the JVM.
     """
-    return ".".join([RECORD, *path.replace("@", "_").split("/")])
+    above, _, name = path.rpartition("/")
+    if name.startswith("@"):
+        return f"{at(above) if above else RECORD}._{name[1:]}"
+    return f"{RECORD}.{ITEM}" if path == ITEM else f"get({elements(path)}, 0)"
 
 
 def text_at(path: str) -> str:
@@ -53,8 +64,8 @@ def field(name: str, path: str, then: Callable[[Column], Column] | None = None,
 
 def first_field(name: str, repeated: str, leaf: str) -> Field:
     """The first filled ``leaf`` among the repetitions of an element."""
-    sql = f"get(filter({at(repeated)}, e -> nullif(e.{leaf}, '') IS NOT NULL), 0).{leaf}"
-    return Field(name, (f"{repeated}[]/{leaf}",), lambda: F.expr(sql))
+    sql = f"get(filter(transform({elements(repeated)}, e -> get(e.{leaf}, 0)), v -> nullif(v, '') IS NOT NULL), 0)"
+    return Field(name, (f"{repeated}/{leaf}",), lambda: F.expr(sql))
 
 
 def variant_field(
@@ -67,12 +78,12 @@ def variant_field(
 
 
 def schema_of(paths: Iterable[str]) -> T.StructType:
-    """The narrowest struct holding all paths; ``[]`` marks a repeated element."""
+    """The narrowest struct holding all paths. Elements are arrays, since a plain field keeps the last of a repeated one."""
     tree: dict[str, dict] = {}
     for path in paths:
         node = tree
         for part in path.split("/"):
-            node = node.setdefault(part.replace("@", "_"), {})
+            node = node.setdefault(part, {})
     return _struct(tree)
 
 
@@ -80,7 +91,6 @@ def _struct(tree: dict[str, dict]) -> T.StructType:
     fields = []
     for part, below in tree.items():
         kind: T.DataType = _struct(below) if below else T.StringType()
-        if part.endswith("[]"):
-            kind = T.ArrayType(kind)
-        fields.append(T.StructField(part.removesuffix("[]"), kind))
+        attribute = part.startswith("@")
+        fields.append(T.StructField(part.replace("@", "_"), kind if attribute else T.ArrayType(kind)))
     return T.StructType(fields)

@@ -317,3 +317,20 @@ def test_documents_without_id_and_replays(fresh, tmp_path):
     assert [(r.incoming, r.written) for r in (*first, *again)] == [(2, 2), (2, 1)]
     assert rows(spark.table("NFe").select(KEY)) == [("7",), (None,), (None,)]
     assert spark.table(REJECTS).count() == 1
+
+
+def test_first_of_repeated_elements_counts_at_every_depth(spark):
+    twice = lambda name, a, b: f"<{name}>{a}</{name}><{name}>{b}</{name}>"
+    ide = f"<ide><natOp/><natOp>B</natOp>{twice('serie', 1, 2)}</ide><ide><natOp>C</natOp><nNF>5</nNF></ide>"
+    group = lambda code: f"<ICMS00><orig>0</orig><CST>{code}</CST></ICMS00>"
+    taxes = f"<ICMS>{group('00')}{group('20')}</ICMS><ICMS><ICMS10><CST>10</CST><vICMS>9</vICMS></ICMS10></ICMS>"
+    item = det(taxes=taxes, prod=twice("prod", "<cProd>p</cProd>", "<cProd>q</cProd><NCM>7</NCM>"))
+    refs = "".join(f"<NFref>{r}</NFref>" for r in ("", "<refNFe/>", twice("refNFe", "r1", "r2"), "<refNFe>r3</refNFe>"))
+    text = nfe(items=item.replace("</det>", "<imposto><IPI><IPITrib><CST>50</CST></IPITrib></IPI></imposto></det>"), ide=ide.replace("</ide>", f"{refs}</ide>", 1))
+    text = text.replace("</infNFe>", '<emit><xNome>Outra</xNome><IE>1</IE></emit></infNFe><infNFe Id="NFe9"/>')
+    columns = ["Natureza_da_Operacao", "Serie", "No_NF", "NF_Ref", "Emitente", "IE_Emitente", "Codigo_produto", "NCM", "CST_ICMS", "Vlr_ICMS", "CST_IPI", "Chave_NFe"]
+    got = flatten(spark.createDataFrame([("a", text)], "path string, text string"), NFE, columns)
+    assert [tuple(r) for r in got.collect()] == [(None, "1", None, "r1", "Loja", None, "p", None, "00", None, None, "1")]
+    cte = '<CTe><infCte Id="CTe1"><ide><CFOP>1</CFOP><natOp>x</natOp><CFOP>2</CFOP></ide><imp/><imp><ICMS><ICMSSN><indSN>1</indSN></ICMSSN></ICMS></imp></infCte></CTe>'
+    got = flatten(spark.createDataFrame([("a", cte)], "path string, text string"), CTE, ["CFOP", "Optante_SN"])
+    assert [tuple(r) for r in got.collect()] == [("1", None)]
