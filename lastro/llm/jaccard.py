@@ -25,6 +25,7 @@ id. Rows that share a ``doc_id`` are one document, whatever their texts.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, merge, opened, remove, shards_for, stored, table, totals, with_totals
-from lastro.llm.minhash import components
+from lastro.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 BLOCK_WORDS, SHARD_KEYS, TILE = 400_000, 1_000_000, 512
@@ -193,27 +194,25 @@ def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         at, node, n, root = (group.column(c).to_numpy() for c in ("at", "node", "n", "root"))
         bits = group.column("bits").to_pylist()
+        widths = np.array([8 * len(b) for b in bits])
         first = group.column("first").to_numpy()
         one_tile = group.column("x")[0] == group.column("y")[0]
         left = np.flatnonzero(first)
         right = left if one_tile else np.flatnonzero(~first)
         out_u, out_v = [], []
-        for i in left.tolist():
-            most = room(n[i], n[right], percent)
-            good = right[(root[right] != root[i]) & (at[right] + at[i] <= most)]
-            if one_tile:
-                good = good[good > i]
-            if not len(good):
-                continue
-            for w in {len(bits[j]) for j in good.tolist()}:
-                same = np.array([j for j in good.tolist() if len(bits[j]) == w])
-                narrow = 8 * min(w, len(bits[i]))
-                x = folded([bits[i]], narrow)
-                y = folded([bits[j] for j in same.tolist()], narrow)
-                near = same[np.bitwise_count(x ^ y).sum(1) <= room(n[i], n[same], percent)]
-                out_u += np.minimum(node[i], node[near]).tolist()
-                out_v += np.maximum(node[i], node[near]).tolist()
-        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+        for w, v in itertools.product(np.unique(widths[left]), np.unique(widths[right])):
+            narrow = int(min(w, v))
+            ours, theirs = left[widths[left] == w], right[widths[right] == v]
+            x, y = folded([bits[i] for i in ours], narrow), folded([bits[j] for j in theirs], narrow)
+            for i, xi in zip(ours.tolist(), x, strict=True):
+                most = room(n[i], n[theirs], percent)
+                good = np.flatnonzero((root[theirs] != root[i]) & (at[theirs] + at[i] <= most) & (theirs > (i if one_tile else -1)))
+                if len(good):
+                    near = theirs[good[np.bitwise_count(xi ^ y[good]).sum(1) <= most[good]]]
+                    out_u.append(np.minimum(node[i], node[near]))
+                    out_v.append(np.maximum(node[i], node[near]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"u": pa.array(np.concatenate(out_u or none), pa.int64()), "v": pa.array(np.concatenate(out_v or none), pa.int64())})
 
     return dealt.groupBy("mark", "x", "y").applyInArrow(compare, "u long, v long").distinct()
 

@@ -9,9 +9,9 @@ Equal sets are one class, so copies cost one row each. No bucket lists its pairs
 
 1. ``HUB_ROUNDS`` times, the members of each bucket that spans several components are compared with one hub, and what
    links becomes one component.
-2. What still spans several components is compared exactly, after counts of shared shingles exclude classes and pairs
-   that cannot link (``rest``). Copies with so many edits that they link with nothing fall out one by one, so large
-   groups of them make no pairs.
+2. What still spans several components is dealt to tiles and bounded by bitmap signatures, pairs of tiles as a whole in
+   numpy (``rest``). Copies with so many edits that they link with nothing come out of no tile; the pairs that do are
+   compared exactly.
 
 Lower case is A-Z only. Fewer than 5 words are one shingle; without words or with a null text there is none and nothing
 is linked. A null ``doc_id`` counts for its class but is never the smallest; a component without any has a null id, and
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, opened, stored, table, with_totals
+from lastro.llm.components import components
+from lastro.llm.jaccard import signature, tiled
 
 SHINGLE, PERCENT = 5, 85
 HASHES, BANDS, ROWS, HUB_ROUNDS = 80, 32, 5, 3
@@ -94,33 +96,13 @@ def signatures(batches):
             )
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(node, root)`` of the undirected ``links(u, v)``: root is the least node that can be reached.
-
-    Alternates two steps that both keep connectivity: every node hands its larger neighbours, then its smaller ones, to
-    its least neighbour. It ends with stars, after a number of rounds about the logarithm of the longest path.
-    """
-    edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        same = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if same == edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = after
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets are similar enough, with the nodes of both."""
-    left = sets.select(F.col("class").alias("a"), F.col("node").alias("u"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("class").alias("b"), F.col("node").alias("v"), F.col("shingles").alias("t"))
+    """Those of the nodes' ``pairs(u, v)`` whose full sets are similar enough."""
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("t"))
     n = F.size(F.array_intersect("s", "t"))
     near = F.lit(100) * n >= F.lit(percent) * (F.size("s") + F.size("t") - n)
-    return pairs.join(left, "a").join(right, "b").where(near).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(near).select("u", "v")
 
 
 def of_one_id(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -153,12 +135,12 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     roots = None if links is None else components(links)
     open_members = stored(members.join(sets.select("class", "node", F.size("shingles").alias("n")), "class"), "members").withColumn("root", F.col("node"))
     for i in range(HUB_ROUNDS + 1):
-        spread = open_members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(i)), "class", "root")).alias("hub"))
-        spread = stored(spread.where("lo < hi").select("band", F.col("hub.class").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
+        spread = open_members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(i)), "node", "root")).alias("hub"))
+        spread = stored(spread.where("lo < hi").select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
         if spread.isEmpty():
             break
         if i < HUB_ROUNDS:
-            pairs = open_members.join(spread, "band").where("root <> hub_root").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b"))
+            pairs = open_members.join(spread, "band").where("root <> hub_root").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
         else:
             pairs = rest(open_members.join(spread.select("band"), "band", "left_semi"), sets, percent)
         found = stored(confirmed(stored(pairs.distinct(), "pairs"), sets, percent), "links")
@@ -196,42 +178,28 @@ def full_sets(held: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def rest(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of different components that share a bucket and are not excluded by counts.
+    """Pairs ``(u, v)`` of different components that share a bucket and whose signatures leave room for a link.
 
-    Classes that buckets connect are a group, and H is the set of shingles that half of the group has. A class A differs
-    from H in D(A), of which the shingles that no other class of the group has can be in no other D. Two classes differ in
-    d = |D(A)| + |D(B)| - 2 |D(A) and D(B)|, where the last is at most the lesser number of shared elements, and they
-    link only if ``percent`` allows d. So a bucket's greatest and least counts exclude most classes one by one, and the
-    same test excludes most pairs of the others.
+    The members of a bucket are dealt to tiles, and pairs of tiles compared as a whole (``jaccard.tiled``). A signature has
+    one bit per hashed value, the parity of the set's shingles there, so the bits in which two of them differ are no more
+    than the shingles in which the sets do.
     """
-    star = members.groupBy("band").agg(F.min("node").alias("v"))
-    groups = components(members.join(stored(star, "stars"), "band").select(F.col("node").alias("u"), "v"))
-    groups = groups.union(groups.select("root", "root").distinct()).toDF("node", "group_").distinct()
-    open_sets = stored(sets.join(members.select("class").distinct(), "class", "left_semi").join(groups, "node"), "open-sets")
-    shingles = stored(open_sets.select("group_", "class", F.explode("shingles").alias("s")), "open-shingles")
-    sizes = open_sets.groupBy("group_").agg(F.count("*").alias("classes"))
-    times = shingles.groupBy("group_", "s").agg(F.count("*").alias("times"))
-    times = stored(times.join(sizes, "group_").withColumn("common", (F.col("times") > 1) & (2 * F.col("times") >= F.col("classes"))), "shingle-counts")
-    common = times.where("common").groupBy("group_").agg(F.count("*").alias("h"))
-    parts = shingles.join(times, ["group_", "s"]).groupBy("class", "group_").agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("times") == 1, 1)).alias("alone"), F.count(F.when(F.col("common"), 1)).alias("in_h")
-    )
-    delta = F.col("n") + F.coalesce("h", F.lit(0)) - 2 * F.col("in_h")
-    parts = parts.join(common, "group_", "left").select("class", delta.alias("d"), (delta - F.col("alone")).alias("shared"))
-    counted = stored(members.join(parts, "class"), "open-members")
-
-    allowed, whole = 100 - percent, 100 + percent
-    of_band = counted.groupBy("band").agg(F.max("n").alias("n_max"), F.min("d").alias("d_min"), F.max("shared").alias("shared_max"), F.max(2 * F.col("shared") - F.col("d")).alias("gain_max"))
-    room = F.lit(allowed) * (F.col("n") + F.col("n_max"))
-    may = counted.join(stored(of_band, "band-counts"), "band").where(
-        (F.lit(whole) * (F.col("d") - F.col("gain_max")) <= room) & (F.lit(whole) * (F.col("d") + F.col("d_min") - 2 * F.col("shared")) <= room)
-    )
-    may = stored(may.select("band", "class", "root", "n", "d", "shared"), "may-link")
-    other = may.select("band", *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "n", "d", "shared")])
-    differ = F.col("d") + F.col("d_b") - 2 * F.least("shared", "shared_b")
-    near = F.lit(whole) * differ <= F.lit(allowed) * (F.col("n") + F.col("n_b"))
-    pairs = may.join(other, "band").where((F.col("class") < F.col("class_b")) & (F.col("root") != F.col("root_b")) & near)
-    return pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b"))
+
+    def sign(batches):
+        for batch in batches:
+            bits = [signature(s) for s in lists(batch.column("shingles"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+    open_sets = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "shingles")
+    signed = stored(open_sets.mapInArrow(sign, "node long, bits binary"), "open-signatures")
+    marked = members.select(F.col("band").alias("mark"), F.lit(0).alias("at"), "node", F.col("n").cast("long").alias("n"), "root")
+    return tiled(marked, signed, percent)
+
+
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The values of each list, without copies."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def op6_minhash_dedup(spark, folder: str) -> DataFrame:
