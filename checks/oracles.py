@@ -458,3 +458,11 @@ UNION ALL SELECT {", ".join("NULL" for _ in _LOADED)}, doc_type, reason, n_docum
 SELECT {", ".join(_RESOLVED)}, NULL AS doc_type, NULL AS reason, NULL AS n_documents FROM t
 UNION ALL SELECT {", ".join("NULL" for _ in _RESOLVED)}, 'NFe', 'malformed', CAST(sum(ceil(n / 990.0)) AS BIGINT) FROM head WHERE k % 97 < 2""",
 }
+ORACLES |= {
+    "append_key_index": ORACLES["append_dedup"].replace("SELECT * FROM i b", "SELECT * FROM i WHERE l_orderkey % 3 = 0 UNION ALL SELECT * FROM i b", 1),
+    "replace_two_tables": "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS label, CAST(c_custkey AS VARCHAR) AS _PK FROM customer "
+    "UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, CAST(s_suppkey AS VARCHAR) FROM supplier",
+    "landing_replayed": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size FROM part "
+    "UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, CAST(p_size AS BIGINT) FROM part WHERE p_partkey % 2 = 0",
+    "infer_incremental": ORACLES["infer_column_types"],
+}

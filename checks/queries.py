@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from lastro.functions.names import with_clean_names
 from lastro.functions.text import as_text
 from lastro.functions.values import converted
 from lastro.operators.fiscal import CTE, NFE, flatten, rejects, root_name, type_counts, with_type
-from lastro.operators.infer import infer_types
+from lastro.operators.infer import column_facts, infer_types, merged_facts, proposed_types
 from lastro.operators.keys import append_counts, first_per_key, new_records, with_key
 from lastro.operators.registry import latest_state, with_key_columns
 from lastro.operators.reports import freight_links, price_history, report_on, row_counts, tax_by_code, top_suppliers
@@ -17,9 +18,10 @@ from lastro.operators.shape import align, coerce, declared_schema, union_ragged
 from lastro.plans.fiscal import CSV_OUT, FiscalData, export_by_type, load_documents, load_folder, stage
 from lastro.plans.load import append_tables, replace_tables
 from checks.order_documents import cte_documents, mixed_documents, nfe_documents
-from lastro.session import shared_folder
+from lastro.session import drop_folder, shared_folder
 from lastro.sources.catalog import catalog_report
 from lastro.sources.delimited import preview, read_inputs, scan_delimited
+from lastro.sources.key_index import build_key_index
 from lastro.sources.xml_folder import decoded_text, read_xml_folder
 from lastro.streaming.landing import append_delimited, append_xml
 
@@ -439,6 +441,53 @@ def append_empty_batch(spark, folder):
     return spark.table(target)
 
 
+def append_key_index(spark, folder):
+    """A stored table with a key index, and an append that asks only the buckets of its own keys."""
+    name = f"{_new_database(spark)}.items"
+    batch, stored = (df.drop("_PK") for df in _batch_and_stored(spark, folder))
+    replace_tables(spark, {name: stored}, keys={name: ["l_orderkey", "l_linenumber"]})
+    build_key_index(spark, name, buckets=16)
+    append_tables(spark, {name: batch})
+    return spark.table(name)
+
+
+def replace_two_tables(spark, folder):
+    """Two tables replaced in one run; a second run, whose last input fails while it is written, changes neither."""
+    database = _new_database(spark)
+    names = [f"{database}.{n}" for n in ("customer", "supplier")]
+    customer = as_text(table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("label")))
+    supplier = as_text(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("label")))
+    replace_tables(spark, dict(zip(names, (customer, supplier), strict=True)), keys={n: ["k"] for n in names})
+    broken = supplier.withColumn("label", F.when(F.col("k") != "", F.raise_error(F.lit("unreadable"))).otherwise(F.col("label")))
+    try:
+        replace_tables(spark, dict(zip(names, (customer.limit(0), broken), strict=True)))
+    except PySparkException:
+        return spark.table(names[0]).unionByName(spark.table(names[1]))
+    raise AssertionError("the broken input was loaded")
+
+
+def landing_replayed(spark, folder):
+    """Two landings in a table without a key; the second batch is run again as after a failure, and adds nothing."""
+    name = f"{_new_database(spark)}.landing"
+    text = as_text(table(spark, folder, "part").select("p_partkey", "p_name", "p_size"))
+    landing, checkpoint = shared_folder(spark, "landing"), shared_folder(spark, "landing-state")
+    replace_tables(spark, {name: text.limit(0)}, {name: {"p_size": "INTEGER"}})
+    for batch in (text.where("p_partkey % 2 = 0"), text):
+        batch.write.mode("append").options(**CSV_OUT).csv(landing)
+        append_delimited(spark, landing, name, text.columns, checkpoint, ledger=True).awaitTermination()
+    drop_folder(spark, f"{checkpoint}/commits/1")
+    append_delimited(spark, landing, name, text.columns, checkpoint, ledger=True).awaitTermination()
+    return spark.table(name).drop("_landed")
+
+
+def infer_incremental(spark, folder):
+    """Facts of three batches, each read and stored alone, merged to one proposal."""
+    path, whole = shared_folder(spark, "facts"), _untyped(spark, folder)
+    for i in range(3):
+        column_facts(whole.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(3)) == i)).write.mode("append").parquet(path)
+    return proposed_types(merged_facts(spark.read.parquet(path)))
+
+
 def load_named_sheets(spark, folder):
     """Inputs named like sheets, replaced twice in one run each; the second state counts."""
     text = {"Plan 1": as_text(table(spark, folder, "nation")), "Ação v1.2": as_text(table(spark, folder, "region"))}
@@ -594,5 +643,6 @@ QUERIES = {
         load_replace_append, load_documents_append, incremental_append, append_typed_dates, append_booleans,
         append_empty_batch, load_named_sheets, coerce_date_dmy, coerce_time, xml_folder_encodings,
         load_documents_replayed, freight_invoice_links, xml_folder_load, xml_landing, xml_batch_split, xml_entities, xml_repeated_elements,
+        append_key_index, replace_two_tables, landing_replayed, infer_incremental,
     )
 }

@@ -1,7 +1,8 @@
 """The key registry: which columns make up the key of each table.
 
 Stored as a log of states: an upsert appends a row and the latest one per table counts. So a write
-never rewrites a path that is being read, and a failed write leaves the former state.
+never rewrites a path that is being read, and a failed write leaves the former state. A log of many files is
+written again as one, which takes its place when complete.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REGISTRY = "_key_registry"
+from lastro.sources.catalog import put_table
+
+REGISTRY, MOST_FILES, ROWS_PER_FILE = "_key_registry", 32, 5_000_000
 SCHEMA = "table_name string, key_columns array<string>, created_at timestamp"
 
 
@@ -48,6 +51,18 @@ def register_key(spark: SparkSession, table: str, columns: Sequence[str] | None)
     entry = spark.createDataFrame([(name, list(columns) if columns else None)], schema)
     stamped = entry.withColumn("created_at", F.current_timestamp()).coalesce(1)
     stamped.write.mode("append").saveAsTable(qualified(REGISTRY, database))
+    compact_registry(spark, database)
+
+
+def compact_registry(spark: SparkSession, database: str | None = None, most_files: int = MOST_FILES) -> None:
+    """Write the log again as the newest entry of each table, once it has more than ``most_files`` files.
+
+    So a lookup reads a bounded number of files however often keys were registered. The log changes places with the
+    old one when it is complete; entries of one database are written by one writer at a time.
+    """
+    stored = qualified(REGISTRY, database)
+    if len(spark.table(stored).inputFiles()) > most_files:
+        put_table(latest_state(spark.table(stored)).coalesce(1), stored, ROWS_PER_FILE)
 
 
 def key_columns(spark: SparkSession, table: str) -> list[str] | None:

@@ -51,3 +51,9 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library made, on whatever file system it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a job's output is there and complete."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
