@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from row_bags import rows
 
-from checks import order_documents
+from checks import order_documents, queries
 from checks.order_documents import cte_documents, nfe_documents
+from lastro.sources.xml_batches import tag_counts
+from lastro.sources.xml_folder import read_xml_folder
+
 
 
 def tables(spark, orders: int):
@@ -33,3 +37,32 @@ def test_items_are_collected_as_rows_and_not_as_elements(spark):
     plan = nfe_documents(*tables(spark, 10))._jdf.queryExecution().optimizedPlan().toString()
     collected = next(line for line in plan.splitlines() if "collect_list" in line)
     assert "ICMS" not in collected
+
+
+def test_large_batches_are_whole_files_of_their_own(spark):
+    docs = spark.range(50).selectExpr("concat('nfe/', id) AS path", "concat('<NFe><infNFe Id=\"', id, '\"/></NFe>') AS text")
+    files = queries._large_batches(docs, 3)
+    texts = [r.value for r in spark.read.text(f"{files}/*", wholetext=True).select("value").collect()]
+    assert len(texts) == 3
+    assert all(t.startswith("<?xml ") and t.endswith("</enviNFe>\n") and t.count("<enviNFe") == t.count("</enviNFe") == 1 for t in texts)
+    assert sum(t.count("<NFe>") for t in texts) == 50
+    found = read_xml_folder(spark, f"{files}/*", pattern="*.txt", split_bytes=1)
+    assert found.count() == found.distinct().count() == 50
+
+
+def test_texts_of_a_larger_table_go_to_several_files(spark, tmp_path, monkeypatch):
+    folder, written = str(tmp_path), []
+    texts = spark.range(400).selectExpr("id AS doc_id", "concat('a \"b\"\n', repeat(cast(id AS string), 20)) AS text", "'pt' AS lang")
+    texts.repartition(8).write.parquet(f"{folder}/documents.parquet")
+    real = queries._written_csv
+    monkeypatch.setattr(queries, "_written_csv", lambda df: written.append(real(df)) or written[0])
+    monkeypatch.setattr(queries, "BYTES_PER_FILE", queries._bytes(spark, f"{folder}/documents.parquet") // 3)
+    found = queries.scan_multiline_split(spark, folder)
+    assert len(spark.read.text(written[0]).inputFiles()) == 4
+    assert rows(found) == rows(texts.selectExpr("cast(doc_id AS string) AS doc_id", "text", "lang"))
+
+
+def test_tags_are_counted_by_the_patterns_alone(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<r><n:NFe a='1'><infNFe/></n:NFe ><CTe/><CTe></CTe><x/><!-- y --></r>")
+    got = {(r.prefix, r.tag): (r.opens, r.closes, r.hides) for r in tag_counts(spark, [str(tmp_path / "a.xml")]).collect()}
+    assert got == {("n", "NFe"): (1, 1, 0), ("", "CTe"): (1, 1, 0), ("", ""): (0, 0, 1)}
