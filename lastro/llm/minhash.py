@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, opened, stored, table, with_totals
+from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, opened, remove, stored, table, with_totals
 from lastro.llm.components import components
 from lastro.llm.jaccard import signature, tiled
 
@@ -117,64 +117,90 @@ def of_one_id(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs(doc_id, text)`` with ``n_shingles``, ``component_id`` and ``kept``; documents link from ``percent`` on."""
+    """``docs(doc_id, text)`` with ``n_shingles``, ``component_id`` and ``kept``; documents link from ``percent`` on.
+
+    Each table on the way is removed once nothing reads it; two small ones, from which the result is read, stay.
+    """
     held = blocks(docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("flag"), "text"), lower=True)
     signed = stored(held.mapInArrow(signatures, "place long, doc_id long, n_shingles long, class binary, bands array<bigint>"), "signatures")
     # a class goes by the place of its first row, since ids may be any number, null or repeated
     classes = signed.where("class is not null").groupBy("class").agg(F.min("place").alias("node"), F.min("doc_id").alias("least"))
     classes = stored(classes, "classes")
-
-    banded = signed.where("bands is not null").select("class", F.explode("bands").alias("band")).distinct()
-    banded = stored(banded, "bands")
-    shared = stored(banded.groupBy("band").count().where("count > 1").select("band"), "shared")
-    members = stored(banded.join(shared, "band"), "members")
-    wanted = members.select("class").distinct().join(classes, "class").select("class", "node", F.col("node").alias("place"))
+    # the first row of a class is the first of its block, so it has the bands
+    banded = stored(signed.where("bands is not null").select(F.col("place").alias("node"), "bands").join(classes.select("node"), "node", "left_semi"), "bands")
+    rows = stored(signed.select("doc_id", "n_shingles", "class"), "rows")
+    remove(signed)
+
+    each = banded.select("node", F.explode("bands").alias("band"))
+    shared = stored(each.groupBy("band").count().where("count > 1").select("band"), "shared")
+    members = stored(each.join(shared, "band"), "members")
+    remove(banded)
+    remove(shared)
+    wanted = members.select("node").distinct()
     sets = stored(full_sets(held, wanted), "sets")
+    remove(held)
 
-    links = of_one_id(signed, classes)
+    links = of_one_id(rows, classes)
     roots = None if links is None else components(links)
-    open_members = stored(members.join(sets.select("class", "node", F.size("shingles").alias("n")), "class"), "members").withColumn("root", F.col("node"))
+    scratch = [classes] if links is None else [classes, links]
+    sized = members.join(sets.select("node", F.size("shingles").alias("n")), "node").withColumn("root", F.col("node"))
+    open_members = stored(sized, "members")
+    remove(members)
     for i in range(HUB_ROUNDS + 1):
-        spread = open_members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(i)), "node", "root")).alias("hub"))
+        spread = open_members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "root")).alias("hub"))
         spread = stored(spread.where("lo < hi").select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
         if spread.isEmpty():
+            remove(spread)
             break
         if i < HUB_ROUNDS:
             pairs = open_members.join(spread, "band").where("root <> hub_root").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
         else:
             pairs = rest(open_members.join(spread.select("band"), "band", "left_semi"), sets, percent)
-        found = stored(confirmed(stored(pairs.distinct(), "pairs"), sets, percent), "links")
+        pairs = stored(pairs.distinct(), "pairs")
+        found = stored(confirmed(pairs, sets, percent), "links")
+        remove(pairs)
+        scratch.append(found)
         links = found if links is None else links.union(found)
+        if roots is not None:
+            remove(roots)
         roots = components(links)
-        open_members = open_members.drop("root").join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("class", "band", "node", "n", F.coalesce("root", "node").alias("root"))
-        open_members = stored(open_members.join(spread.select("band"), "band", "left_semi"), "members")
+        now = open_members.drop("root").join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+        now = stored(now.join(spread.select("band"), "band", "left_semi"), "members")
+        remove(spread)
+        remove(open_members)
+        open_members = now
+    remove(open_members)
+    remove(sets)
     named = classes.select("class", "node", "least", F.col("node").alias("root"))
-    if links is not None:
+    if roots is not None:
         named = stored(named.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+        scratch += [roots, named]
         # only components of several classes have another class's id
         several = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")).where("classes > 1")
         named = named.join(several.drop("classes"), "root", "left").withColumn("least", F.coalesce("component_id", "least"))
     named = stored(named.select("class", F.col("least").alias("component_id"), F.lit(True).alias("known")), "named")
-    out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    for done in scratch:
+        remove(done)
+    out = rows.join(named, "class", "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def full_sets(held: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The full shingle sets of the classes ``wanted(class, node, place)``, made again from their blocks."""
-    rows = wanted.select(F.shiftright("place", PLACE_BITS).alias("block"), F.lit(0).alias("shard"), F.concat(F.col("class"), F.unhex(F.lpad(F.hex("node"), 16, "0")), F.unhex(F.lpad(F.hex(F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))), 8, "0"))).alias("total"))
+    """The full shingle sets of the places ``wanted(node)``, made again from their blocks."""
+    rows = wanted.select(F.shiftright("node", PLACE_BITS).alias("block"), F.lit(0).alias("shard"), F.unhex(F.lpad(F.hex("node"), 16, "0")).alias("total"))
 
     def make(row, rows):
         if not rows:
-            return pa.table({"class": pa.array([], pa.binary()), "node": pa.array([], pa.int64()), "shingles": pa.array([], pa.list_(pa.int64()))})
-        keys = [t for _, t in rows]
-        sets = shingle_sets(row, [int.from_bytes(t[24:28], "big") for t in keys])
+            return pa.table({"node": pa.array([], pa.int64()), "shingles": pa.array([], pa.list_(pa.int64()))})
+        nodes = [int.from_bytes(t, "big") for _, t in rows]
+        sets = shingle_sets(row, [node & ((1 << PLACE_BITS) - 1) for node in nodes])
         flat = np.concatenate(sets).view(np.int64)
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-        return pa.table({"class": pa.array([t[:16] for t in keys], pa.binary()), "node": pa.array([int.from_bytes(t[16:24], "big") for t in keys], pa.int64()), "shingles": lists})
+        return pa.table({"node": pa.array(nodes, pa.int64()), "shingles": lists})
 
-    return with_totals(held, rows, make, "class binary, node long, shingles array<bigint>")
+    return with_totals(held, rows, make, "node long, shingles array<bigint>")
 
 
 def rest(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

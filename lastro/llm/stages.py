@@ -14,7 +14,7 @@ from lastro.llm.minhash import linked
 from lastro.llm.mixing import mixed
 from lastro.llm.packing import pack_documents
 from lastro.llm.quality import WORD, judged
-from lastro.llm.substring import remove_repeats
+from lastro.llm.substring import changed_texts
 
 
 def with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
@@ -46,7 +46,7 @@ def remove_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the words of repeated windows; texts that lose nothing stay as they are."""
     name, kept_name = fresh(docs, "row"), fresh(docs, "kept")
     rowed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "rowed")
-    changed = remove_repeats(rowed.select(F.col(name).alias("doc_id"), "text"), with_text=True).where("n_removed > 0")
+    changed = changed_texts(rowed.select(F.col(name).alias("doc_id"), "text"))
     joined = rowed.join(changed.select(F.col("doc_id").alias(name), F.col("kept").alias(kept_name)), name, "left")
     return with_text(joined, docs.columns, F.coalesce(kept_name, "text"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import among, blocks, found, gram_hashes, hash_words, inside, opened, shards_for, slices, split_words, strings, table, totals, with_totals
+from lastro.llm.common import among, blocks, found, gram_hashes, hash_words, inside, opened, remove, shards_for, slices, split_words, stored, strings, table, totals, with_totals
 
 WORDS, GRAM = 35, 12
 #: A block's arrays of 64-bit hashes take about a hundred bytes a word.
@@ -88,8 +88,8 @@ def covered(starts: np.ndarray, total: int, words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, words: int = WORDS, with_text: bool = False) -> DataFrame:
-    """``docs(doc_id, text)`` with counts and the digest of what stays; ``with_text`` adds that text."""
+def without_repeats(docs: DataFrame, words: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """The stored blocks, and ``remove_repeats`` as a query over them."""
 
     def keep(row, rows):
         offsets, codes, distinct, h, starts, _, _ = windows(row, words)
@@ -109,7 +109,20 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, with_text: bool = False)
         return pa.table(out)
 
     held, repeated = spans(docs, words)
-    return with_totals(held, repeated, keep, SCHEMA + ", kept string" * with_text)
+    return held, with_totals(held, repeated, keep, SCHEMA + ", kept string" * with_text)
+
+
+def remove_repeats(docs: DataFrame, words: int = WORDS, with_text: bool = False) -> DataFrame:
+    """``docs(doc_id, text)`` with counts and the digest of what stays; ``with_text`` adds that text."""
+    return without_repeats(docs, words, with_text)[1]
+
+
+def changed_texts(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``(doc_id, kept)`` of the documents that lose words, stored; the blocks are removed."""
+    held, out = without_repeats(docs, words, with_text=True)
+    changed = stored(out.where("n_removed > 0").select("doc_id", "kept"), "changed-texts")
+    remove(held)
+    return changed
 
 
 def op3_substring_dedup(spark, folder: str) -> DataFrame:
