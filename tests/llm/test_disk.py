@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lastro.llm import common
+from lastro.llm.minhash import linked
 from lastro.llm.stages import dedup, remove_passages
 from lastro.llm.substring import remove_repeats
 
@@ -26,6 +27,12 @@ def texts():
     return [(5, " ".join(base)), (3, " ".join(near)), (3, " ".join(f"x{i}" for i in range(90))), (8, " ".join(base)), (9, "short"), (10, None), (None, " ".join(base[:50]))]
 
 
+def test_near_duplicates_leave_what_is_read(docs, left):
+    got = linked(docs(texts()))
+    assert [t for t in left() if t not in ("rows", "named")] == ["repeated-ids"]
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(5, 3), (3, 3), (8, 3), (9, 9), (10, 10), (None, None)}
+
+
 def test_stages_leave_what_is_read(spark, docs, left):
     rows = docs(texts())
     assert dedup(spark, rows, "").count() == 5
