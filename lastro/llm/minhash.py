@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, opened, remove, stored, table, with_totals
+from lastro.llm.common import PLACE_BITS, blocks, gram_hashes, hash_words, lean, opened, remove, stored, table, with_totals
 from lastro.llm.components import components
 from lastro.llm.jaccard import signature, tiled
 
@@ -122,7 +122,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Each table on the way is removed once nothing reads it; two small ones, from which the result is read, stay.
     """
     held = blocks(docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("flag"), "text"), lower=True)
-    signed = stored(held.mapInArrow(signatures, "place long, doc_id long, n_shingles long, class binary, bands array<bigint>"), "signatures")
+    signed = stored(held.mapInArrow(lean(signatures), "place long, doc_id long, n_shingles long, class binary, bands array<bigint>"), "signatures")
     # a class goes by the place of its first row, since ids may be any number, null or repeated
     classes = signed.where("class is not null").groupBy("class").agg(F.min("place").alias("node"), F.min("doc_id").alias("least"))
     classes = stored(classes, "classes")
@@ -217,7 +217,7 @@ def rest(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary())], names=["node", "bits"])
 
     open_sets = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "shingles")
-    signed = stored(open_sets.mapInArrow(sign, "node long, bits binary"), "open-signatures")
+    signed = stored(open_sets.mapInArrow(lean(sign), "node long, bits binary"), "open-signatures")
     marked = members.select(F.col("band").alias("mark"), F.lit(0).alias("at"), "node", F.col("n").cast("long").alias("n"), "root")
     return tiled(marked, signed, percent)
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lastro.llm.common import slices, stored, table
+from lastro.llm.common import lean, slices, stored, table
 from lastro.llm.token_counts import encoder
 
 WINDOW = 4096
@@ -35,14 +35,16 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
         end = np.array([end_id], np.uint32).tobytes()
         for batch in slices(batches, "text"):
             offsets, codes, ids = tokens(batch.column("text"))
-            bounds = offsets.tolist()
-            picked = [ids[c] for c in codes.tolist()]
-            texts = [b"".join(picked[a:b]) + end for a, b in zip(bounds, bounds[1:], strict=False)]
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts)) // 4
+            # each document's end is one more piece, and its ids are a run of the slice's
+            codes = np.insert(codes, offsets[1:], len(ids))
+            stream = pa.array([*ids, end], pa.large_binary()).take(pa.array(codes))
+            bounds = np.frombuffer(stream.buffers()[1], np.int64)[stream.offset :][offsets + np.arange(len(offsets))]
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds), stream.buffers()[2]])
+            lengths = np.diff(bounds) // 4
             starts = done + np.cumsum(lengths) - lengths
             done += int(lengths.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(texts), pa.int32()), batch.column("doc_id"), pa.array(starts), pa.array(lengths), pa.array(texts, pa.binary())],
+                [pa.array([part] * len(texts), pa.int32()), batch.column("doc_id"), pa.array(starts), pa.array(lengths), texts.cast(pa.binary())],
                 names=["part", "doc_id", "at", "n", "ids"],
             )
 
@@ -62,12 +64,12 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
             columns = [pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)][: 10 if with_ids else 9]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in (PIECES + ", ids binary" * with_ids).split(", ")])
 
-    encoded = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "part int, doc_id long, at long, n long, ids binary"), "packing-ids")
+    encoded = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(encode), "part int, doc_id long, at long, n long, ids binary"), "packing-ids")
     totals = encoded.groupBy("part").agg(F.sum("n").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     # one row per task of the stage before: small whatever the corpus
     placed = encoded.join(F.broadcast(before), "part").select("doc_id", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
-    return placed.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return placed.mapInArrow(lean(cut), PIECES + ", ids binary" * with_ids)
 
 
 def op8_packing(spark, folder: str) -> DataFrame:
