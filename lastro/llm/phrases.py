@@ -5,6 +5,9 @@ fingerprint of every phrase in a few array operations per length. Blocks send di
 get sums back (``common.totals``), so a phrase that is in every text travels once per block. Words and pairs go first; a
 longer phrase is only fingerprinted where all of its pairs are frequent.
 
+Fingerprints have ``KEY_BITS`` bits, and blocks send the gaps between them: what a key takes depends neither on the input's
+size nor on the number of shards.
+
 Then each block goes to the places of its frequent fingerprints: a fingerprint's first place in the block is its pointer,
 every other place is compared with the words there, and places that differ are counted apart, under their own words. So
 two phrases with one fingerprint do no harm: sums per text decide what is frequent, and only frequent texts are made.
@@ -18,13 +21,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lastro.llm.common import among, blocks, found, hash_words, mix, opened, remove, shard_of, shards_for, stored, table, totals, with_totals
+from lastro.llm.common import (
+    NEWLINE, among, blocks, found, hash_words, mix, opened, pack, pack_sorted, remove, shard_of, shards_for, stored, table, totals, unpack, unpack_sorted,
+    with_totals,
+)
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK_WORDS, SHARD_KEYS = 500_000, 1_000_000
+#: Of a fingerprint with its length. Phrases with one fingerprint cost comparisons, never rows.
+KEY_BITS = 44
 SEPARATORS = r"[.,;:!?\x0A-\x0D]+"
 #: Stands for separators in a block; no word can be equal to it.
 CUT = b"."
@@ -55,7 +64,7 @@ class Prints:
     def of(self, at: np.ndarray, n: int) -> np.ndarray:
         """Of the phrases of ``n`` words that start at ``at``, by language."""
         value = (self.prefix[at + n] - self.prefix[at]) * self.back[at]
-        return mix(value, self.lang[at] + np.uint64(n))
+        return mix(value, self.lang[at] + np.uint64(n)) >> np.uint64(64 - KEY_BITS)
 
     def starts(self, n: int, pairs: np.ndarray | None) -> np.ndarray:
         """Where phrases of ``n`` words start; those of three or more only where all of their ``pairs`` are frequent."""
@@ -74,18 +83,15 @@ def of_length(keys: np.ndarray, n: int) -> np.ndarray:
     return keys[(keys & np.uint64(7)) == np.uint64(n)]
 
 
-TEXTS = pa.schema([("lang_hash", pa.int64()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-
-
-def packed_batch(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def packed_texts(made: pa.RecordBatch) -> tuple[bytes, bytes, bytes]:
+    """Languages, phrases and counts; words hold no line ends."""
+    phrases = NEWLINE.join(x.encode() for x in made.column("phrase").to_pylist())
+    return pack(made.column("lang_hash").to_numpy()), zstandard.compress(phrases, 3), pack(made.column("n").to_numpy())
 
 
-def opened_batch(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+def opened_texts(langs: bytes, phrases: bytes, ns: bytes) -> pa.Table:
+    phrase = pc.split_pattern(pa.array([zstandard.decompress(phrases)], pa.binary()).cast(pa.string()), "\n").flatten()
+    return pa.table({"lang_hash": pa.array(unpack(langs, np.int64)), "phrase": phrase, "n": pa.array(unpack(ns, np.int64))})
 
 
 def materialised(row: dict, own: np.ndarray, longest: int) -> pa.RecordBatch:
@@ -113,7 +119,7 @@ def materialised(row: dict, own: np.ndarray, longest: int) -> pa.RecordBatch:
     return pa.concat_batches(parts)
 
 
-MADE = pa.schema([*TEXTS, ("key", pa.uint64())])
+MADE = pa.schema([("lang_hash", pa.int64()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()), ("key", pa.uint64())])
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -147,31 +153,33 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         pairs = np.zeros(len(prints.codes), bool)
         pairs[at] = among(labelled(prints.of(at, 2), 2), of_length(keys, 2))
         block = {c: pa.array([row[c]], t) for c, t in BLOCK_TYPES.items()}
-        return pa.table({**block, "pairs": pa.array([np.packbits(pairs).tobytes()], pa.binary()), "prints": pa.array([keys.tobytes()], pa.binary())})
+        return pa.table({**block, "pairs": pa.array([np.packbits(pairs).tobytes()], pa.binary()), "prints": pa.array([pack_sorted(keys)], pa.binary())})
 
     def texts(row, rows):
         """The block's frequent texts, packed into one row a shard."""
-        own = np.sort(np.concatenate([np.frombuffer(row.get("prints", b""), np.uint64), found(rows)]))
+        own = np.sort(np.concatenate([unpack_sorted(row["prints"]) if "prints" in row else np.zeros(0, np.uint64), found(rows)]))
         made = materialised(row, own, longest)
-        where = shard_of(made.column("key").to_numpy(), shards)
+        where = shard_of(made.column("key").to_numpy(), shards, KEY_BITS)
         order = np.argsort(where, kind="stable")
-        made, where = made.select(["lang_hash", "words", "phrase", "n"]).take(pa.array(order)), where[order]
+        made, where = made.select(["lang_hash", "phrase", "n"]).take(pa.array(order)), where[order]
         starts = np.flatnonzero(np.diff(where, prepend=-1))
-        parts = [packed_batch(made.slice(a, b - a)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(where)], strict=False)]
-        return pa.table({"shard": pa.array(where[starts], pa.int32()), "part": pa.array(parts, pa.binary())})
+        parts = [packed_texts(made.slice(a, b - a)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(where)], strict=False)]
+        langs, phrases, ns = zip(*parts, strict=True) if parts else ((), (), ())
+        return pa.table({"shard": pa.array(where[starts], pa.int32()), "langs": pa.array(langs, pa.binary()), "phrases": pa.array(phrases, pa.binary()), "ns": pa.array(ns, pa.binary())})
 
     def summed(group: pa.Table) -> pa.Table:
-        rows = pa.concat_tables([opened_batch(x) for x in group.column("part").to_pylist()])
-        sums = rows.group_by(["lang_hash", "words", "phrase"]).aggregate([("n", "sum")])
-        sums = sums.rename_columns([c.removesuffix("_sum") for c in sums.column_names]).select(TEXTS.names)
-        return sums.filter(pc.greater_equal(sums.column("n"), least))
+        rows = pa.concat_tables([opened_texts(*x) for x in zip(*(group.column(c).to_pylist() for c in ("langs", "phrases", "ns")), strict=True)])
+        sums = rows.group_by(["lang_hash", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang_hash", "phrase", "n"])
+        sums = sums.filter(pc.greater_equal(sums.column("n"), least))
+        words = pc.add(pc.count_substring(sums.column("phrase"), " "), 1)
+        return sums.append_column("words", words.cast(pa.int32())).select(["lang_hash", "words", "phrase", "n"])
 
-    sums = totals(held, counts([1, 2]), shards, repeated=True, least=least)
+    sums = totals(held, counts([1, 2]), shards, repeated=True, least=least, bits=KEY_BITS)
     if longest > 2:
         paired = stored(with_totals(held, sums, with_pairs, PAIRED), "phrase-pairs")
         remove(held)
-        held, sums = paired, totals(paired, counts(range(3, longest + 1)), shards, repeated=True, least=least)
-    parts = with_totals(held, sums, texts, "shard int, part binary").groupBy("shard")
+        held, sums = paired, totals(paired, counts(range(3, longest + 1)), shards, repeated=True, least=least, bits=KEY_BITS)
+    parts = with_totals(held, sums, texts, "shard int, langs binary, phrases binary, ns binary").groupBy("shard")
     counted = stored(parts.applyInArrow(summed, "lang_hash long, words int, phrase string, n long"), "phrase-texts")
     remove(held)
     # one row a language

@@ -8,10 +8,11 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain_versions import LOWER, words
 
-from lastro.llm import phrases
+from lastro.llm import common, phrases
 from lastro.llm.common import blocks, table
 from lastro.llm.phrases import collocations, frequent_phrases
 from lastro.llm.runs import op13_periodic_runs, periodic_runs
@@ -79,6 +80,35 @@ def test_equal_fingerprints_are_told_apart_by_their_words(spark, monkeypatch):
     assert sorted((r["lang_hash"], r["phrase"], r["n"]) for r in got) == [(7, "a b", 3), (7, "c d", 2), (8, "a b", 1)]
 
 
+def test_fingerprints_of_few_bits_lose_no_phrase(spark, monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["a", "b", "cd", "é", "."]) for _ in range(3000))
+    row = blocks(spark.createDataFrame([(7, 0, text)], "doc_id long, flag int, text string")).first().asDict()
+    monkeypatch.setattr(phrases, "KEY_BITS", 6)
+    made = phrases.Prints(row)
+    own = np.unique(np.concatenate([phrases.labelled(made.of(made.starts(n, np.ones(len(made.codes), bool)), n), n) for n in (1, 2, 3)]))
+    want = Counter(" ".join(w[i : i + n]) for piece in text.split(" . ") for w in [[x for x in piece.split() if x != "."]] for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    got = phrases.materialised(row, own, 3).to_pylist()
+    assert len(own) <= 24 < len(want) and {r["phrase"]: r["n"] for r in got} == want and len(got) == len(want)
+
+
+def test_bytes_of_a_key_do_not_follow_the_number_of_shards():
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << phrases.KEY_BITS, 200_000, dtype=np.uint64))
+    for shards in (8, 200):
+        where = common.shard_of(keys, shards, phrases.KEY_BITS)
+        parts = [keys[where == s] for s in range(shards)]
+        assert min(map(len, parts)) > 0.8 * len(keys) / shards and where.max() < shards
+        assert sum(len(common.pack_sorted(p)) for p in parts) < 4.5 * len(keys)
+        assert all((common.unpack_sorted(common.pack_sorted(p)) == p).all() for p in parts)
+    assert common.shard_of(np.array([0, (1 << 44) - 1], np.uint64), 7, 44).tolist() == [0, 6]
+    assert common.found([(0, common.pack_sorted(keys[:0]))]).tolist() == [] and common.found([]).tolist() == []
+
+
+def test_texts_come_back():
+    made = pa.RecordBatch.from_pylist([{"lang_hash": -5, "phrase": "a é", "n": 1 << 40}, {"lang_hash": 7, "phrase": "x", "n": 2}])
+    assert phrases.opened_texts(*phrases.packed_texts(made)).to_pylist() == made.to_pylist()
+
+
 # --- periodic runs
 
 
