@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from row_bags import rows
 
@@ -66,3 +68,10 @@ def test_tags_are_counted_by_the_patterns_alone(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<r><n:NFe a='1'><infNFe/></n:NFe ><CTe/><CTe></CTe><x/><!-- y --></r>")
     got = {(r.prefix, r.tag): (r.opens, r.closes, r.hides) for r in tag_counts(spark, [str(tmp_path / "a.xml")]).collect()}
     assert got == {("n", "NFe"): (1, 1, 0), ("", "CTe"): (1, 1, 0), ("", ""): (0, 0, 1)}
+
+
+def test_documents_are_not_shuffled_into_their_batch_files(spark):
+    docs = spark.range(0, 60, 1, 6).selectExpr("concat('nfe/', id) AS path", "concat('<NFe><infNFe Id=\"', id, '\"/></NFe>') AS text")
+    files = queries._large_batches(docs, 3)
+    found = [[int(i) for i in re.findall(r'Id="(\d+)"', r.value)] for r in spark.read.text(f"{files}/*", wholetext=True).select("value").collect()]
+    assert sorted(found) == [list(range(a, a + 20)) for a in (0, 20, 40)]
