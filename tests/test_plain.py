@@ -7,7 +7,7 @@ import random
 import pytest
 from row_bags import rows
 
-from lastro.operators.fiscal import CTE, NFE, _kinds, flatten, rejects
+from lastro.operators.fiscal import CTE, NFE, _kinds, _unread, flatten, rejects
 from lastro.operators.plain import NotPlain, Reader
 from lastro.plans.fiscal import stage
 
@@ -137,3 +137,10 @@ def test_a_document_is_read_once_and_only_odd_ones_reach_the_parser(spark):
     plan = flatten(docs, NFE)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("from_xml") == 1
     assert [r[0] for r in rows(flatten(docs, NFE, ["Chave_NFe"]))] == ["1", "1", "2", "2"]
+
+
+def test_documents_whose_entities_are_in_place_are_read_by_their_shape(spark):
+    declared = lambda subset: f"<!DOCTYPE nfeProc [{subset}]>\n<nfeProc>{note().replace('Venda', '&op;')}</nfeProc>"
+    docs = spark.createDataFrame([("a", declared('<!ENTITY op "Venda">')), ("b", declared('<!ENTITY op "&op;">'))], "path string, text string")
+    assert [r.path for r in _unread(docs, [NFE], None, keep=False).collect()] == ["b"]
+    assert rows(flatten(docs, NFE, ["Natureza_da_Operacao"])) == [("Venda",), ("Venda",)]
