@@ -75,3 +75,15 @@ def test_documents_are_not_shuffled_into_their_batch_files(spark):
     files = queries._large_batches(docs, 3)
     found = [[int(i) for i in re.findall(r'Id="(\d+)"', r.value)] for r in spark.read.text(f"{files}/*", wholetext=True).select("value").collect()]
     assert sorted(found) == [list(range(a, a + 20)) for a in (0, 20, 40)]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.xml").write_text(f"<NFe><infNFe Id='{i}'/></NFe>")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        docs = read_xml_folder(spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert docs.distinct().count() == 40
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
